@@ -15,7 +15,35 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def tokenizer_path(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from siftline.llm.packing import pack
+
+    return pack(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
+
+
+def op4_token_id_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from siftline.llm.codes import fresh_target, read_documents, write_ids
+
+    target = write_ids(table(spark, sf_dir, "documents"), fresh_target(spark), tokenizer_path("word_bpe_49k.json"))
+    return read_documents(spark, target)
+
+
+def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from siftline.llm.pieces import encode_decode
+
+    return encode_decode(table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
+
+
 QUERIES = {
+    "op3_best_fit_packing": op3_best_fit_packing,
+    "op4_token_id_output": op4_token_id_output,
+    "op9_sentencepiece": op9_sentencepiece,
     "op10_exact_dedup": op10_exact_dedup,
 }
 

@@ -14,10 +14,14 @@ ROOT = str(Path(__file__).resolve().parents[2])
 
 
 def ship(spark: SparkSession) -> None:
-    """Let Python workers import this package from where the driver found it."""
+    """Let Python workers import this package from where the driver found it, and keep
+    Arrow batches of whole texts small unless the session says otherwise."""
     have = spark.sparkContext.environment.get("PYTHONPATH", "")
     if ROOT not in have.split(":"):
         spark.sparkContext.environment["PYTHONPATH"] = f"{ROOT}:{have}".rstrip(":")
+    size = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(size) == "10000":  # Spark's default
+        spark.conf.set(size, "500")
 
 
 def work_dir(spark: SparkSession) -> str:

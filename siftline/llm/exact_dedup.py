@@ -162,15 +162,16 @@ def _chunks(moduli, chunk):
 
 
 def _with_text(moduli):
-    inner = Polynomial
-
     def run(batches):
-        hashers = [inner(*m) for m in moduli]
+        hashers = [Polynomial(*m) for m in moduli]
         for batch in batches:
-            texts = batch.column(0).to_pylist()
-            vs = [values(t.encode()) for t in texts]
+            prints = []
+            for text in batch.column(0).to_pylist():
+                v = values(text.encode())
+                prints.append((len(v), *(h.of(v) for h in hashers)))
+            columns = zip(*prints) if prints else ((), (), ())
             yield pa.RecordBatch.from_arrays(
-                [pa.array([len(v) for v in vs], pa.int64()), *(pa.array([h.of(v) for v in vs], pa.int64()) for h in hashers), batch.column(0)],
+                [*(pa.array(c, pa.int64()) for c in columns), batch.column(0)],
                 [*KEY, "text"],
             )
 

@@ -46,7 +46,41 @@ def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents"))
 
 
+def op1_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from siftline.llm.chat_format import format_turns, read_back
+
+    said = r"\### Assistant: </turn> ok"
+    extra = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").union(extra)
+    return read_back(format_turns(turns))
+
+
+#: fixed values: host, path, action
+URL_RULES = [
+    ("net", "/", "block"),
+    ("example.net", "/en/", "allow"),
+    ("example.com", "/de/", "block"),
+    ("org", "/fr/", "allow"),
+]
+
+
+def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from siftline.llm.url_filter import judge_urls
+
+    rules = spark.createDataFrame(URL_RULES, "host string, path string, action string")
+    return judge_urls(table(spark, sf_dir, "pages"), rules)
+
+
+def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from siftline.llm.secret_scan import scan_secrets
+
+    return scan_secrets(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
+    "op1_chat_formatting": op1_chat_formatting,
+    "op2_url_filter": op2_url_filter,
+    "op8_secret_scan": op8_secret_scan,
     "op5_ngram_jaccard_join": op5_ngram_jaccard_join,
     "op3_best_fit_packing": op3_best_fit_packing,
     "op4_token_id_output": op4_token_id_output,
@@ -55,6 +89,45 @@ QUERIES = {
 }
 
 ORACLES = {
+    "op1_chat_formatting": r"""
+        WITH rows AS (
+            SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+            UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok'
+            UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'
+        ), sized AS (
+            SELECT *,
+                   (length(text) - length(replace(text, '</turn>', ''))) // 7
+                   + (length(text) - length(replace(text, '### ', ''))) // 4 AS n_text,
+                   length(role) - length(replace(replace(replace(role, '\', ''), ':', ''), chr(10), '')) AS n_role
+            FROM rows
+        )
+        SELECT conv_id,
+               count(*) AS n_turns,
+               sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+               CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+               sha256(coalesce(string_agg(text, '' ORDER BY turn, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+               CAST(sum(15 + length(role) + n_role + length(text) + n_text) AS BIGINT) AS formatted_chars
+        FROM sized GROUP BY conv_id
+    """,
+    "op2_url_filter": """
+        WITH parts AS (
+            SELECT page_id,
+                   translate(coalesce(regexp_extract(url, '://([^/?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+                   coalesce(regexp_extract(url, '://[^/?#]*([^?#]*)', 1), '') AS path
+            FROM pages
+        ), ruled AS (
+            SELECT *,
+                   CASE WHEN (host = 'example.net' OR host LIKE '%.example.net') AND starts_with(path, '/en/') THEN 'example.net/en/'
+                        WHEN (host = 'example.com' OR host LIKE '%.example.com') AND starts_with(path, '/de/') THEN 'example.com/de/'
+                        WHEN (host = 'org' OR host LIKE '%.org') AND starts_with(path, '/fr/') THEN 'org/fr/'
+                        WHEN (host = 'net' OR host LIKE '%.net') AND starts_with(path, '/') THEN 'net/'
+                   END AS rule
+            FROM parts
+        )
+        SELECT page_id, host, path, rule,
+               CASE WHEN rule IN ('net/', 'example.com/de/') THEN 'block' ELSE 'allow' END AS verdict
+        FROM ruled
+    """,
     "op10_exact_dedup": """
         SELECT doc_id,
                max(doc_id) OVER w AS keep_id,

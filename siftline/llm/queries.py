@@ -77,7 +77,14 @@ def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_secrets(table(spark, sf_dir, "documents"))
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from siftline.llm.toxicity import score_documents
+
+    return score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES = {
+    "op7_toxicity": op7_toxicity,
     "op1_chat_formatting": op1_chat_formatting,
     "op2_url_filter": op2_url_filter,
     "op8_secret_scan": op8_secret_scan,

@@ -83,7 +83,14 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op6_approximate_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from siftline.llm.ann import nearest
+
+    return nearest(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
+    "op6_approximate_neighbours": op6_approximate_neighbours,
     "op7_toxicity": op7_toxicity,
     "op1_chat_formatting": op1_chat_formatting,
     "op2_url_filter": op2_url_filter,

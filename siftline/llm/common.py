@@ -84,6 +84,19 @@ def bloom_hit(words: list[int], key: Column, log2_bits: int, hashes: int = 3, se
     return hit
 
 
+def without(docs: DataFrame, removed: DataFrame, log2_bits: int = 22) -> DataFrame:
+    """Rows of ``docs`` whose key is not in ``removed`` (columns doc_id and, where given,
+    text_sha256). Rows that a filter of the removed ids lets through never move; the few
+    others are settled by an anti join. A null doc_id is a key like any other."""
+    words = bloom_words(removed, F.col("doc_id"), log2_bits)
+    maybe = bloom_hit(words, F.col("doc_id"), log2_bits)
+    out = removed.select([F.col(c).alias(f"_removed_{c}") for c in removed.columns]).distinct()
+    same = docs["doc_id"].eqNullSafe(out["_removed_doc_id"])
+    if "text_sha256" in removed.columns:
+        same &= F.sha2(F.coalesce(docs["text"], F.lit("")), 256) == out["_removed_text_sha256"]
+    return docs.where(~maybe).unionByName(docs.where(maybe).join(out, same, "left_anti"))
+
+
 # ---------------------------------------------------------------- components
 
 

@@ -208,8 +208,7 @@ class ToxicityModel:
     def scored(self, docs: DataFrame) -> DataFrame:
         """``docs`` with ``score`` and ``predicted`` (columns of these names are replaced)."""
         kept = docs.drop("score", "predicted")
-        kept = kept.withColumn("_toxicity_text", F.col("text").cast("string"))
-        schema = T.StructType([*kept.schema.fields[:-1], T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())])
+        schema = T.StructType([*kept.schema.fields, T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())])
         return kept.mapInArrow(_scored(self.words, self.stems, self.coefficients), schema)
 
 
@@ -227,10 +226,10 @@ def _scored(words, stems, coefficients):
     def run(batches):
         scorer = Scorer(words, stems)
         for batch in batches:
-            x = np.array([scorer.features(t) for t in batch.column(batch.num_columns - 1).to_pylist()]).reshape(-1, 3)
+            x = np.array([scorer.features(t) for t in batch.column(batch.schema.get_field_index("text")).to_pylist()]).reshape(-1, 3)
             score = probability(x, coefficients)
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns[:-1], pa.array(score), pa.array((score >= THRESHOLD).astype(np.int32))], [*batch.schema.names[:-1], "score", "predicted"]
+                [*batch.columns, pa.array(score), pa.array((score >= THRESHOLD).astype(np.int32))], [*batch.schema.names, "score", "predicted"]
             )
 
     return run

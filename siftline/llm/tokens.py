@@ -3,7 +3,7 @@
 Where no token can cross a white-space mark, a text's ids are its chunks' ids in order.
 Each distinct chunk is segmented once by the public library and kept in a table that
 lives as long as the Python worker; a text is then a join of its chunks by position.
-The table is emptied when it passes LIMIT entries or LIMIT_CHARS characters.
+The table is emptied when it passes LIMIT entries (about 250 MB) or LIMIT_CHARS characters.
 """
 
 from __future__ import annotations
@@ -12,8 +12,10 @@ import os
 import re
 from array import array
 
-LIMIT = 300_000
-LIMIT_CHARS = 8_000_000
+import numpy as np
+
+LIMIT = 1_200_000
+LIMIT_CHARS = 24_000_000
 #: before a single space between two characters that are no white space
 CUT = re.compile(r"(?<=\S)(?= \S)")
 #: a text without these can be cut at each of its spaces
@@ -22,21 +24,26 @@ RUN = re.compile(r" +[^ ]*")
 
 
 class ChunkTable(dict):
-    """chunk -> what ``segment`` makes of it; fill() segments the missing ones together."""
+    """chunk -> what ``segment`` makes of it; fill() segments the missing ones together.
+
+    segment() takes distinct chunks and returns a dict of them. The libraries take about
+    five times as long for a chunk alone as for one in a long text, so chunks are
+    segmented in lines and the lines' ids cut apart where chunks begin.
+    """
 
-    def __init__(self, segment):
+    def __init__(self, segment, limit: int = LIMIT):
         super().__init__()
-        self.segment, self.chars = segment, 0
+        self.segment, self.limit, self.chars = segment, limit, 0
 
     def fill(self, chunk_lists) -> None:
-        if len(self) > LIMIT or self.chars > LIMIT_CHARS:
+        if len(self) > self.limit or self.chars > LIMIT_CHARS:
             self.clear()
             self.chars = 0
         need = set().union(*chunk_lists)
         need = list(need.difference(self))
         if need:
             self.chars += sum(map(len, need))
-            self.update(zip(need, self.segment(need)))
+            self.update(self.segment(need))
 
 
 def load(path: str):
@@ -49,9 +56,13 @@ def load(path: str):
     return tokenizer
 
 
-def packed(tokenizer, chunks: list[str]) -> list[bytes]:
+def packed(tokenizer, texts: list[str]) -> list[bytes]:
     """Ids as little-endian unsigned 32-bit integers."""
-    return [array("I", e.ids).tobytes() for e in tokenizer.encode_batch_fast(chunks, add_special_tokens=False)]
+    return [array("I", e.ids).tobytes() for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+
+def lines(chunks: list[str], most: int = 256):
+    return [chunks[i : i + most] for i in range(0, len(chunks), most)]
 
 
 class SpacedIds:
@@ -60,8 +71,23 @@ class SpacedIds:
 
     def __init__(self, path: str):
         tokenizer = load(path)
-        self.first = ChunkTable(lambda chunks: packed(tokenizer, chunks))
-        self.spaced = ChunkTable(lambda chunks: packed(tokenizer, [" " + c for c in chunks]))
+        begins = np.array([(tokenizer.id_to_token(i) or "").startswith("Ġ") for i in range(tokenizer.get_vocab_size())])
+
+        def segment(chunks):
+            plain = [c for c in chunks if c and c == c.strip() and " " not in c]
+            out = {}
+            for line, e in zip(lines(plain), tokenizer.encode_batch_fast([" " + " ".join(x) for x in lines(plain)], add_special_tokens=False)):
+                ids = np.array(e.ids, "<u4")
+                at = np.flatnonzero(begins[ids]) * 4
+                if len(at) == len(line):
+                    ids = ids.tobytes()
+                    out.update(zip(line, [ids[a:b] for a, b in zip(at, [*at[1:], len(ids)])]))
+            rest = [c for c in chunks if c not in out]
+            out.update(zip(rest, packed(tokenizer, [" " + c for c in rest])))
+            return out
+
+        self.first = ChunkTable(lambda chunks: dict(zip(chunks, packed(tokenizer, chunks))))
+        self.spaced = ChunkTable(segment)
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         cuts = []
@@ -83,7 +109,22 @@ class WordIds:
 
     def __init__(self, path: str):
         tokenizer = load(path)
-        self.table = ChunkTable(lambda chunks: packed(tokenizer, chunks))
+        bar = tokenizer.token_to_id("|</w>").to_bytes(4, "little")
+
+        def segment(chunks):
+            plain = [c for c in chunks if c and "|" not in c]
+            out = {}
+            for line, ids in zip(lines(plain), packed(tokenizer, [" | ".join(x) for x in lines(plain)])):
+                ids = np.frombuffer(ids, "<u4")
+                at = np.flatnonzero(ids == int.from_bytes(bar, "little")) * 4
+                if len(at) == len(line) - 1:
+                    ids = ids.tobytes()
+                    out.update(zip(line, [ids[a:b] for a, b in zip([0, *(at + 4)], [*at, len(ids)])]))
+            rest = [c for c in chunks if c not in out]
+            out.update(zip(rest, packed(tokenizer, rest)))
+            return out
+
+        self.table = ChunkTable(segment)
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         cuts = [t.replace("\n", " ").split(" ") for t in texts]
@@ -100,16 +141,25 @@ class PieceIds:
 
         self.library = library = sentencepiece.SentencePieceProcessor(model_file=path)
         mark = [library.piece_to_id("▁")]
-        for i in range(library.get_piece_size()):
-            if re.search("[^▁]▁", library.id_to_piece(i)):
-                raise ValueError("pieces of this model cross white-space marks")
+        pieces = [library.id_to_piece(i) for i in range(library.get_piece_size())]
+        if any(re.search("[^▁]▁", p) for p in pieces):
+            raise ValueError("pieces of this model cross white-space marks")
+        begins = np.array([p.startswith("▁") for p in pieces])
 
         def segment(chunks):
-            # the library adds the first mark itself, but nothing to an empty text
-            found = library.encode([c[1:] for c in chunks], num_threads=1)
-            return [(i or mark, ",".join(map(str, i or mark))) for i in found]
-
-        self.table = ChunkTable(segment)
+            # the library adds a text's first mark itself, but nothing to an empty text
+            plain = [c for c in chunks if len(c) > 1 and c.rfind(" ") == 0]
+            out = {}
+            for line, ids in zip(lines(plain), library.encode(["".join(x)[1:] for x in lines(plain)], num_threads=1)):
+                at = np.flatnonzero(begins[ids]).tolist()
+                if len(at) == len(line):
+                    out.update(zip(line, [ids[a:b] for a, b in zip(at, [*at[1:], len(ids)])]))
+            rest = [c for c in chunks if c not in out]
+            if rest:
+                out.update((c, ids or mark) for c, ids in zip(rest, library.encode([c[1:] for c in rest], num_threads=1)))
+            return {c: (ids, ",".join(map(str, ids))) for c, ids in out.items()}
+
+        self.table = ChunkTable(segment, LIMIT // 2)
 
     def __call__(self, texts: list[str]) -> list[tuple[list[int], str]]:
         """For each text its ids and the same ids in decimal, joined by commas."""

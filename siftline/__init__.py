@@ -1,0 +1 @@
+"""Security and network log analytics as Spark DataFrame transformations."""

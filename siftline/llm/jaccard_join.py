@@ -6,7 +6,8 @@ where no pivot separates anything. The space is therefore first cut into blocks:
 link must share a shingle among their first n - ceil(3n/4) + 1 in a common order (rarest
 first, by a count sketch of fixed size over all documents). Within each block:
 
-1. The smallest set is the block's pivot, and its distance to every member is computed.
+1. The smallest set is the block's pivot, and its distance to every member is found
+   (first bounded by what their prefixes share, then exactly where a link is possible).
    Members within the radius form its region and need no more comparison among
    themselves: they hang together through the pivot.
 2. By the triangle inequality a member x outside can only link with region members y of
@@ -21,8 +22,6 @@ doc_id takes part. Nothing is capped: large blocks are cut into cells that meet
 
 from __future__ import annotations
 
-import hashlib
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -30,8 +29,9 @@ from pyspark.sql import functions as F
 
 from siftline.llm.common import bloom_hit, bloom_words, components, cut, ship
 
-SKETCH_BITS = 18
-BLOOM_BITS = 22
+SKETCH_BITS = 22
+SKETCH_PARTS = 64
+BLOOM_BITS = 20
 CELL = 512
 RADIUS = 0.25
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -49,30 +49,68 @@ def mixed(h: np.ndarray) -> np.ndarray:
 
 
 class Shingler:
-    """Sorted distinct 64-bit hashes of a text's word shingles."""
+    """Sorted distinct 64-bit hashes of a text's word shingles.
+
+    A word's hash is a polynomial of random values of its bytes, read off running sums
+    over a piece of text; pieces end at white space, so memory is bounded by PIECE or the
+    longest word.
+    """
 
-    def __init__(self, width: int = 5, limit: int = 400_000):
-        self.width, self.limit, self.words = width, limit, {}
+    PIECE = 1 << 18
+
+    def __init__(self, width: int = 5):
+        self.width = width
+        self.values = np.random.default_rng(20240229).integers(0, 1 << 64, 256, np.uint64)
+        self.space = np.zeros(256, bool)
+        self.space[[32, *range(9, 14)]] = True
+        self.base = np.uint64(0x5851F42D4C957F2D)
+        self.inverse = np.uint64(pow(int(self.base), -1, 1 << 64))
+        self.grow(self.PIECE)
+
+    def grow(self, n: int) -> None:
+        self.powers = np.cumprod(np.full(n, self.base))
+        self.inverses = np.cumprod(np.full(n, self.inverse))
+
+    def words(self, data: bytes) -> np.ndarray:
+        """Hashes of the words: runs without white space in ASCII."""
+        out, at = [], 0
+        while at < len(data):
+            stop = len(data)
+            if stop - at > self.PIECE:
+                gap = max(data.rfind(bytes([c]), at, at + self.PIECE) for c in (32, 10, 9, 13, 11, 12))
+                # a word longer than a piece goes on to the next white space, found by doubling
+                size = self.PIECE
+                while gap < 0 and at + size < len(data):
+                    size *= 2
+                    gap = max(data.find(bytes([c]), at, at + size) for c in (32, 10, 9, 13, 11, 12))
+                stop = gap + 1 if gap >= 0 else len(data)
+            b = np.frombuffer(data, np.uint8, stop - at, at)
+            if len(b) > len(self.powers):
+                self.grow(len(b))
+            space = self.space[b]
+            turns = np.flatnonzero(space[1:] != space[:-1]) + 1
+            edges = np.concatenate([[] if space[0] else [0], turns, [] if space[-1] else [len(b)]]).astype(np.int64)
+            sums = np.empty(len(b) + 1, np.uint64)
+            sums[0] = 0
+            np.cumsum(self.values[b] * self.powers[: len(b)], out=sums[1:])
+            start, end = edges[::2], edges[1::2]
+            out.append((sums[end] - sums[start]) * self.inverses[start])
+            at = stop
+        return mixed(np.concatenate(out)) if out else np.zeros(0, np.uint64)
 
     def __call__(self, text: str | None) -> np.ndarray:
-        words = (text or "").encode().translate(LOWER).split()  # bytes.split: \x20 and \x09-\x0D
-        if not words:
-            return np.zeros(0, np.uint64)
-        known = self.words
-        new = set(words).difference(known)
-        if new:
-            if len(known) > self.limit:
-                known.clear()
-                new = set(words)
-            known.update((w, int.from_bytes(hashlib.blake2b(w, digest_size=8).digest(), "little")) for w in new)
-        h = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
+        h = self.words((text or "").encode().translate(LOWER))
+        if not len(h):
+            return h
         k = min(self.width, len(h))
         n = len(h) - k + 1
         out = np.full(n, k, np.uint64)
         for i in range(k):
             m = MULTIPLIERS[i % len(MULTIPLIERS)] + np.uint64(2 * (i // len(MULTIPLIERS)))
             out += h[i : i + n] * m
-        return np.unique(mixed(out))
+        out = mixed(out)
+        out.sort()
+        return out[np.concatenate([[True], out[1:] != out[:-1]])]
 
 
 def listed(arrays: list[np.ndarray]) -> pa.Array:
@@ -84,18 +122,44 @@ def listed(arrays: list[np.ndarray]) -> pa.Array:
 
 def _counts(width):
     def run(batches):
-        shingles, counts = Shingler(width), np.zeros(1 << SKETCH_BITS, np.int64)
+        shingles, counts = Shingler(width), np.zeros(1 << SKETCH_BITS, np.uint32)
         for batch in batches:
             for text in batch.column(0).to_pylist():
-                h = (shingles(text) >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)
-                if len(h):
-                    np.add.at(counts, h, 1)
-        at = np.flatnonzero(counts)
-        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(counts[at])], ["cell", "n"])
+                np.add.at(counts, (shingles(text) >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), np.uint32(1))
+        parts = np.minimum(counts, 65535).astype("<u2").reshape(SKETCH_PARTS, -1)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(SKETCH_PARTS, dtype=np.int32)), pa.array([p.tobytes() for p in parts], pa.binary())], ["part", "counts"])
 
     return run
 
 
+def _added(batches):
+    """Rows in order of part: the sums of each part's counts."""
+    part, sums = None, None
+
+    def row():
+        return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([np.minimum(sums, 65535).astype("<u2").tobytes()], pa.binary())], ["part", "counts"])
+
+    for batch in batches:
+        for p, counts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            if p != part:
+                if sums is not None:
+                    yield row()
+                part, sums = p, np.zeros((1 << SKETCH_BITS) // SKETCH_PARTS, np.int64)
+            sums += np.frombuffer(counts, "<u2")
+    if sums is not None:
+        yield row()
+
+
+def _sketch(texts: DataFrame, width: int) -> np.ndarray:
+    """How often each of 2**SKETCH_BITS cells of shingles occurs, up to 65535: 8 MB on the
+    driver, whatever the input."""
+    found = texts.mapInArrow(_counts(width), "part int, counts binary").repartition("part").sortWithinPartitions("part").mapInArrow(_added, "part int, counts binary")
+    parts = np.zeros((SKETCH_PARTS, (1 << SKETCH_BITS) // SKETCH_PARTS), np.uint16)
+    for row in found.collect():
+        parts[row["part"]] = np.frombuffer(row["counts"], "<u2")
+    return parts.ravel()
+
+
 def _prefixes(width, sketch):
     def run(batches):
         shingles, counts = Shingler(width), sketch.value
@@ -201,8 +265,21 @@ def _with_pivots(rows: DataFrame, *order) -> DataFrame:
     )
 
 
-def _measured(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """pairs (a, b) of distinct documents: (a, b, d, linked), exactly."""
+def _screened(pairs: DataFrame, points: DataFrame) -> DataFrame:
+    """pairs (a, b) of distinct documents: (a, b, low, maybe), from their prefixes alone.
+    Common shingles after the prefix that ends first number at most what is left of that
+    set, so low bounds the distance from below, and maybe says if they could link."""
+    left, right = points.toDF("a", "na", "pa"), points.toDF("b", "nb", "pb")
+    most = F.size(F.array_intersect("pa", "pb")) + F.greatest(F.col("na") - F.size("pa"), F.col("nb") - F.size("pb"))
+    both = pairs.join(left, "a").join(right, "b").select("a", "b", "na", "nb", F.least(most, "na", "nb").alias("most"))
+    return both.select("a", "b", (1 - F.col("most") / (F.col("na") + F.col("nb") - F.col("most"))).alias("low"), (7 * F.col("most") >= 3 * (F.col("na") + F.col("nb"))).alias("maybe"))
+
+
+def _measured(pairs: DataFrame, rows: DataFrame, width: int) -> DataFrame:
+    """pairs (a, b) of distinct documents: (a, b, d, linked), exactly. Only texts of the
+    pairs' documents are cut into shingles."""
+    ids = bloom_words(pairs.select(F.explode(F.array("a", "b")).alias("doc")), F.col("doc"), BLOOM_BITS)
+    sets = rows.where(bloom_hit(ids, F.col("doc_id"), BLOOM_BITS)).mapInArrow(_sets(width), "doc long, shingles array<long>")
     left, right = sets.toDF("a", "sa"), sets.toDF("b", "sb")
     both = F.size(F.array_intersect("sa", "sb")).cast("long")
     union = F.size("sa") + F.size("sb") - both
@@ -246,16 +323,13 @@ def jaccard_components(docs: DataFrame, width: int = 5, levels: int = 4) -> Data
     Words are runs without ASCII white space, A-Z lower-cased. A text of fewer words than
     ``width`` is one shingle. Null texts and texts without words have an empty set, link
     with nothing and are their own component. Rows with a null doc_id keep their set size
-    and have a null component. Rows that repeat a doc_id each give a row. An empty table
-    gives no rows. Columns other than doc_id and text are not read.
+    and have a null component. Rows that repeat a doc_id each give a row; a doc_id that
+    stands for different texts links wherever one of them does. An empty table gives no rows. Columns other than doc_id and text are not read.
     """
     spark = docs.sparkSession
     ship(spark)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    counted = rows.select("text").mapInArrow(_counts(width), "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
-    sketch = np.zeros(1 << SKETCH_BITS, np.int64)
-    sketch[counted.column("cell").to_numpy()] = counted.column("n").to_numpy()
-    sketch = spark.sparkContext.broadcast(sketch)  # 2 MB, whatever the input
+    sketch = spark.sparkContext.broadcast(_sketch(rows.select("text"), width))
     heads = cut(rows.mapInArrow(_prefixes(width, sketch), "doc_id long, n long, fp1 long, fp2 long, prefix array<long>"), "prefixes")
 
     # equal sets are one point
@@ -263,15 +337,14 @@ def jaccard_components(docs: DataFrame, width: int = 5, levels: int = 4) -> Data
     same = cut(named.groupBy(*SAME).agg(F.min("doc_id").alias("rep"), F.count("*").alias("k")).where("k > 1"), "equal-sets")
     maybe = bloom_hit(bloom_words(same, F.struct(*SAME), BLOOM_BITS), F.struct(*SAME), BLOOM_BITS)
     points = named.where(~maybe).select("doc_id", "n", "prefix")
-    points = points.union(named.where(maybe).join(same, SAME, "left").where("rep is null or rep = doc_id").select("doc_id", "n", "prefix"))
+    points = points.union(named.where(maybe).join(same, SAME, "left").where("rep is null or rep = doc_id").select("doc_id", "n", "prefix").dropDuplicates(["doc_id"]))
     index = points.select("doc_id", "n", F.posexplode("prefix")).select(
         F.col("col").alias("s"), F.col("doc_id").alias("doc"), "n", (F.col("n") - F.col("pos")).alias("room")
     )
 
-    blocks = cut(_with_pivots(index).dropDuplicates(["s", "doc"]), "blocks")
+    blocks = cut(_with_pivots(index), "blocks")
     ids = bloom_words(blocks.select("doc"), F.col("doc"), BLOOM_BITS)
-    sets = rows.where(bloom_hit(ids, F.col("doc_id"), BLOOM_BITS)).dropDuplicates(["doc_id"]).mapInArrow(_sets(width), "doc long, shingles array<long>")
-    sets = cut(sets, "sets")
+    points = points.where(bloom_hit(ids, F.col("doc_id"), BLOOM_BITS))
 
     links = spark.createDataFrame([], "a long, b long")
     before = None
@@ -279,12 +352,13 @@ def jaccard_components(docs: DataFrame, width: int = 5, levels: int = 4) -> Data
         # distances to the pivots; sizes alone show d > 0.5 for the others
         near = 2 * F.least("n", "pivot_n") >= F.greatest("n", "pivot_n")
         pairs = blocks.where((F.col("doc") != F.col("pivot")) & near).select(F.col("pivot").alias("a"), F.col("doc").alias("b")).distinct()
-        known = cut(_measured(pairs, sets), "distances")
-        links = links.union(known.where("linked").select("a", "b"))
+        known = cut(_screened(pairs, points), "bounds")
+        exact = cut(_measured(known.where("maybe").select("a", "b"), rows, width), "distances")
+        links = links.union(exact.where("linked").select("a", "b"))
         comps = cut(components(links), "regions")
-        to_pivot = known.select(F.col("a").alias("pivot"), F.col("b").alias("doc"), "d", "linked")
+        to_pivot = known.join(exact, ["a", "b"], "left").select(F.col("a").alias("pivot"), F.col("b").alias("doc"), "low", "d", "linked")
         placed = blocks.where("doc <> pivot").join(to_pivot, ["pivot", "doc"], "left")
-        placed = placed.withColumn("linked", F.coalesce("linked", F.lit(False))).withColumn("far", F.coalesce("d", F.lit(0.5)))
+        placed = placed.withColumn("linked", F.coalesce("linked", F.lit(False))).withColumn("far", F.coalesce("d", "low", F.lit(0.5)))
         edge = placed.where("not linked").groupBy("s").agg(F.min("far").alias("nearest"))
         rest = placed.join(edge, "s").where(f"not linked or d >= nearest - {RADIUS} - 1e-9")
         rest = rest.join(comps.toDF("doc", "component"), "doc", "left").select(
@@ -303,7 +377,8 @@ def jaccard_components(docs: DataFrame, width: int = 5, levels: int = 4) -> Data
 
     cells = _cells(rest).repartition("s", "main", "i", "j").sortWithinPartitions("s", "main", "i", "j")
     pairs = cells.mapInArrow(_cell_pairs, "a long, b long").distinct()
-    more = cut(_measured(pairs, sets).where("linked").select("a", "b"), "links")
+    near = cut(_screened(pairs, points).where("maybe").select("a", "b"), "bounds")
+    more = cut(_measured(near, rows, width).where("linked").select("a", "b"), "links")
     return _result(heads, same, links.union(more))
 
 

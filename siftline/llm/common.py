@@ -7,6 +7,8 @@ import tempfile
 import uuid
 from pathlib import Path
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -58,24 +60,30 @@ def bloom_bits(key: Column, log2_bits: int, hashes: int, seed: int = 0) -> list[
     ]
 
 
-def bloom_words(df: DataFrame, key: Column, log2_bits: int, hashes: int = 3, seed: int = 0) -> list[int]:
+def bloom_words(df: DataFrame, key: Column, log2_bits: int, hashes: int = 3, seed: int = 0) -> np.ndarray:
     """The filter's 64-bit words. Spark ors the bits of each word before anything moves;
     the driver gets at most 2**(log2_bits - 6) rows, whatever the size of ``df``."""
     bits = df.select(F.explode(F.array(*bloom_bits(key, log2_bits, hashes, seed))).alias("bit"))
-    rows = (
+    found = (
         bits.groupBy(F.shiftright("bit", 6).alias("word"))
         .agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.expr("cast(bit & 63 as int)"))).alias("bits"))
-        .collect()
+        .toArrow()
     )
-    words = [0] * (1 << (log2_bits - 6))
-    for row in rows:
-        words[row["word"]] = row["bits"]
+    words = np.zeros(1 << (log2_bits - 6), np.int64)
+    words[found.column("word").to_numpy()] = found.column("bits").to_numpy()
     return words
 
 
-def bloom_hit(words: list[int], key: Column, log2_bits: int, hashes: int = 3, seed: int = 0) -> Column:
-    """Whether the filter may hold ``key``: bit tests on an array literal, no Python."""
-    array = F.split(F.lit(",".join(map(str, words))), ",").cast("array<long>")  # folded to a literal once
+def bloom_hit(words: np.ndarray, key: Column, log2_bits: int, hashes: int = 3, seed: int = 0) -> Column:
+    """Whether the filter may hold ``key``: bit tests on an array, no Python. A small
+    array is a literal; a large one is read by a scalar subquery, once for each executor,
+    so that plans and event logs stay small."""
+    if len(words) <= 64:
+        array = F.array(*map(F.lit, words.tolist())).cast("array<long>")
+    else:
+        spark = SparkSession.active()
+        row = pa.table({"words": pa.array([words], pa.list_(pa.int64()))})
+        array = cut(spark.createDataFrame(row), "bloom").scalar()
     hit = F.lit(True)
     for bit in bloom_bits(key, log2_bits, hashes, seed):
         word = F.get(array, F.shiftright(bit, 6).cast("int"))
@@ -84,7 +92,7 @@ def bloom_hit(words: list[int], key: Column, log2_bits: int, hashes: int = 3, se
     return hit
 
 
-def without(docs: DataFrame, removed: DataFrame, log2_bits: int = 22) -> DataFrame:
+def without(docs: DataFrame, removed: DataFrame, log2_bits: int = 20) -> DataFrame:
     """Rows of ``docs`` whose key is not in ``removed`` (columns doc_id and, where given,
     text_sha256). Rows that a filter of the removed ids lets through never move; the few
     others are settled by an anti join. A null doc_id is a key like any other."""

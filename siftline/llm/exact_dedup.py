@@ -178,7 +178,7 @@ def _with_text(moduli):
     return run
 
 
-def exact_dedup(docs: DataFrame, moduli=MODULI, huge: int = HUGE, log2_bits: int = 22) -> DataFrame:
+def exact_dedup(docs: DataFrame, moduli=MODULI, huge: int = HUGE, log2_bits: int = 20) -> DataFrame:
     """One row per row of ``docs``: doc_id, keep_id, group_size, kept, text_sha256.
 
     Texts are equal when identical, code point by code point; the row with the largest

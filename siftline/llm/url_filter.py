@@ -37,7 +37,7 @@ class Cascade:
 
     def __init__(self, listed: DataFrame, universe: DataFrame):
         """listed, universe: one column ``key`` of distinct strings; listed is in universe."""
-        self.levels: list[tuple[list[int], int, int, int]] = []
+        self.levels: list[tuple] = []
         n, u = listed.count(), max(universe.count(), 2)
         others = universe.join(listed, "key", "left_anti")
         ins, rate = (listed, others), max(min(0.5, math.sqrt(0.5) * n / u), 1e-9)

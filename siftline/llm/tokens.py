@@ -8,6 +8,7 @@ The table is emptied when it passes LIMIT entries (about 250 MB) or LIMIT_CHARS
 
 from __future__ import annotations
 
+import functools
 import os
 import re
 from array import array
@@ -56,6 +57,11 @@ def load(path: str):
     return tokenizer
 
 
+@functools.cache
+def load_once(path: str):
+    return load(path)
+
+
 def packed(tokenizer, texts: list[str]) -> list[bytes]:
     """Ids as little-endian unsigned 32-bit integers."""
     return [array("I", e.ids).tobytes() for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]

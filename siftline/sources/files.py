@@ -51,6 +51,15 @@ def _stream(name: str, content: bytes):
         yield name.rpartition("/")[2], plain
 
 
+def _lines(stream):
+    rest = b""
+    while chunk := stream.read(1 << 20):
+        *whole, rest = (rest + chunk).split(b"\n")
+        yield from whole
+    if rest:
+        yield rest
+
+
 def _archive_lines(batches):
     for batch in batches:
         for path, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
@@ -60,8 +69,8 @@ def _archive_lines(batches):
                 return pa.RecordBatch.from_pylist(out, schema=pa.schema([("path", pa.string()), ("member", pa.string()), ("line_no", pa.int64()), ("raw", pa.string())]))
 
             for member, stream in _stream(path, content):
-                for line in io.TextIOWrapper(io.BufferedReader(stream), encoding="utf-8", errors="replace", newline="\n"):
-                    line = line.rstrip("\r\n")
+                for line in _lines(stream):
+                    line = line.decode("utf-8", "replace").rstrip("\r\n")
                     if line:
                         out.append({"path": path, "member": member, "line_no": number, "raw": line})
                         number += 1

@@ -34,15 +34,15 @@ def append_events(batch: DataFrame, target: str) -> int:
         days = [r[0] for r in batch.select("ingest_day").distinct().collect()]
         stored = spark.read.parquet(target).where(F.col("ingest_day").isin(days))
         fresh = new_events(batch, stored)
-    spark_rows = fresh.observe(seen := _observation(), F.count("*").alias("n"))
-    spark_rows.write.mode("append").partitionBy("ingest_day").option("compression", "zstd").parquet(target)
-    return seen.get["n"]
-
-
-def _observation():
-    from pyspark.sql import Observation
-
-    return Observation(uuid.uuid4().hex)
+    # counted from a cached copy: an observed metric never arrives where Spark finds the
+    # rest of the plan to be empty
+    fresh = fresh.persist()
+    try:
+        if n := fresh.count():
+            fresh.write.mode("append").partitionBy("ingest_day").option("compression", "zstd").parquet(target)
+        return n
+    finally:
+        fresh.unpersist()
 
 
 def replace_events(events: DataFrame, target: str, expected: int) -> None:
@@ -139,8 +139,8 @@ def write_frozen(events: DataFrame, target: str) -> int:
 def export(events: DataFrame, target: str, kind: str = "csv.zst", limit: int = 100_000) -> int:
     """The newest rows as csv, csv.zst or parquet under ``target``; the number of rows."""
     rows = newest(events, clamp(limit, EXPORT_LIMIT), EXPORT_LIMIT).select(EVENT_COLUMNS)
-    seen = _observation()
-    rows = rows.observe(seen, F.count("*").alias("n"))
+    rows = rows.persist()
+    n = rows.count()
     if kind == "parquet":
         rows.write.mode("overwrite").option("compression", "zstd").parquet(target)
     elif kind == "csv":
@@ -160,7 +160,8 @@ def export(events: DataFrame, target: str, kind: str = "csv.zst", limit: int = 1
         out.close()
     else:
         raise ValueError("kind is csv, csv.zst or parquet")
-    return seen.get["n"]
+    rows.unpersist()
+    return n
 
 
 def publish_state(tables: dict[str, DataFrame], root: str) -> int:

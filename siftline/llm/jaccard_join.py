@@ -258,9 +258,10 @@ def _cell_pairs(batches):
 
 def _with_pivots(rows: DataFrame, *order) -> DataFrame:
     """rows (s, doc, n, room): the rows of blocks of two or more, with pivot, pivot_n."""
-    rows = rows.select("s", "doc", "n", "room")
+    first = order[0] if order else F.lit(0)
+    rows = rows.select("s", "doc", "n", "room", first.alias("o"))
     return (
-        rows.withColumn("o", order[0] if order else F.lit(0)).repartition("s").sortWithinPartitions("s", "o", "n", "doc").drop("o")
+        rows.repartition("s").sortWithinPartitions("s", "o", "n", "doc").drop("o")
         .mapInArrow(_pivots, "s long, doc long, n long, room long, pivot long, pivot_n long")
     )
 
@@ -316,7 +317,7 @@ def _cells(rest: DataFrame) -> DataFrame:
     return a.union(b).union(c)
 
 
-def jaccard_components(docs: DataFrame, width: int = 5, levels: int = 4) -> DataFrame:
+def jaccard_components(docs: DataFrame, width: int = 5, levels: int = 4, few: int = 64) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_shingles, component_id, the smallest doc_id
     reachable by links of Jaccard similarity 0.75 or more between sets of word shingles.
 
@@ -370,7 +371,7 @@ def jaccard_components(docs: DataFrame, width: int = 5, levels: int = 4) -> Data
         if not left:
             return _result(heads, same, links)
         rest = rest.join(shape.select("s"), "s")
-        if level == levels - 1 or work <= 64 * left or (before is not None and left > 0.7 * before):
+        if level == levels - 1 or work <= few * left or (before is not None and left > 0.7 * before):
             break
         before = left
         blocks = cut(_with_pivots(rest, F.col("linked").cast("int")), "blocks")

@@ -117,9 +117,10 @@ def test_jaccard_components(spark):
             texts.append(" ".join(w))
     n, comp = brute(texts)
     df = spark.createDataFrame([(i, t, "en", "s") for i, t in enumerate(texts)] + [(None, "one two", "en", "s")], DOCS)
-    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.jaccard_components(df).collect()}
-    assert got.pop(None) == (1, None)
-    assert got == {i: (n[i], comp[i]) for i in range(len(texts))}
+    for few in (64, 0):  # as it comes, and with recursion to the last level
+        got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.jaccard_components(df, few=few).collect()}
+        assert got.pop(None) == (1, None)
+        assert got == {i: (n[i], comp[i]) for i in range(len(texts))}
 
 
 def test_neighbours(spark):

@@ -1,13 +1,15 @@
 """Approximate nearest neighbours by NN-descent and greedy graph search.
 
-Equal vectors are one node. The first graph comes from blocks: vectors in order of the
+Equal vectors are one node. Blocks only seed the graph: vectors in order of the
 random directions that they are nearest to, cut into runs of LEAF, each compared in full,
 for a few sets of directions. Each NN-descent round is a Spark join of neighbours of neighbours: the two
-neighbourhoods (out and in) of every node meet in one group, members are compared, and
-each node keeps its best K. In-neighbourhoods of any size are dealt to several groups, so
-none is cut off. Queries start from their own node and repeatedly expand the best nodes
-that they have not expanded, by joins with the graph. The nearest found are scored again
-in double precision on the original vectors.
+neighbourhoods (out and in) of every node meet in one group, members that have not met
+there are compared, and each node keeps its best K. Rounds go on, whatever the size, until
+one changes less than SETTLED of all edges. In-neighbourhoods of any size are dealt to
+several groups, anew each round, so none is cut off. Queries start from their own node and
+repeatedly expand the best nodes that they have not expanded, by joins with the graph,
+until the whole beam is expanded. The nearest found are scored again in double precision
+on the original vectors.
 """
 
 from __future__ import annotations
@@ -22,14 +24,13 @@ from pyspark.sql import functions as F
 from siftline.llm.common import cut, ship
 
 K = 32
-LEAF = 1024
-TREES = 8
-ROUNDS = 2
+LEAF = 128
+TREES = 4
+SETTLED = 0.005
 GROUP = 128
 DIRECTIONS = 64
-BEAM = 32
-EXPAND = 8
-STEPS = 4
+BEAM = 128
+EXPAND = 32
 EDGE = "v long, w long, s float"
 
 
@@ -83,10 +84,14 @@ def _codes(seed: int, digits: int, directions: int):
     return run
 
 
-def best(ids: np.ndarray, x: np.ndarray, k: int):
-    """Rows (v, w, s): for each of ids its k nearest among the others."""
+def best(ids: np.ndarray, x: np.ndarray, k: int, new: np.ndarray | None = None):
+    """Rows (v, w, s): for each of ids its k nearest among the others; pairs of which
+    neither is new have s = -2."""
     s = x @ x.T
     np.fill_diagonal(s, -2)
+    if new is not None:
+        old = np.flatnonzero(~new)
+        s[np.ix_(old, old)] = -2
     k = min(k, len(ids) - 1)
     top = np.argpartition(-s, k - 1, axis=1)[:, :k]
     return np.repeat(ids, k), ids[top].ravel(), np.take_along_axis(s, top, axis=1).ravel()
@@ -112,8 +117,8 @@ def _blocks(k: int, leaf: int):
 
 
 def _meet(k: int):
-    """Rows (hub, part, w, worst, c) in order of hub and part: members of a group are
-    compared, and pairs better than a member's worst neighbour come out."""
+    """Rows (hub, part, w, new, worst, c) in order of hub and part: members of a group are
+    compared, one of them new, and pairs better than a member's worst neighbour come out."""
 
     def run(batches):
         held = None
@@ -133,10 +138,10 @@ def _meet(k: int):
 
     def compare(table, starts, k):
         ids, x, worst = table.column("w").to_numpy(), matrix(table.column("c"), np.int8), table.column("worst").to_numpy()
-        parts = []
+        new, parts = table.column("new").to_numpy(), []
         for a, b in zip(starts[:-1], starts[1:]):
-            if b - a > 1:
-                v, w, s = best(ids[a:b], x[a:b], k)
+            if b - a > 1 and new[a:b].any():
+                v, w, s = best(ids[a:b], x[a:b], k, new[a:b])
                 better = s > np.repeat(worst[a:b], len(v) // (b - a))
                 parts.append((v[better], w[better], s[better]))
         if parts:
@@ -150,34 +155,43 @@ def _meet(k: int):
 
 
 def kept(rows: DataFrame, k: int) -> DataFrame:
-    """The k best neighbours of each node; one shuffle."""
-    rows = rows.repartition("v").dropDuplicates(["v", "w"])
+    """The k best neighbours of each node, new if no row of the edge is old; one shuffle."""
+    rows = rows.repartition("v").groupBy("v", "w").agg(F.max("s").alias("s"), F.min("new").alias("new"))
     order = Window.partitionBy("v").orderBy(F.desc("s"), "w")
     return rows.withColumn("r", F.row_number().over(order)).where(F.col("r") <= k).drop("r")
 
 
-def neighbour_graph(nodes: DataFrame, n: int, k: int = K, leaf: int = LEAF, trees: int = TREES, rounds: int = ROUNDS) -> DataFrame:
+def neighbour_graph(nodes: DataFrame, n: int, k: int = K, leaf: int = LEAF, trees: int = TREES, settled: float = SETTLED) -> DataFrame:
     """(v, w, s): for each node (v, c) its k nearest found."""
     nodes = nodes.select("v", "c")
-    parts = max(1, math.ceil(n / (4 * leaf)))
+    parts = max(1, math.ceil(n / 4096))
     cells = max(2, n // leaf)
     digits = max(1, math.ceil(math.log(cells) / math.log(DIRECTIONS) - 1e-9))
+    new = F.lit(True).alias("new")
     first = None
     for tree in range(trees if n > leaf else 1):
         coded = nodes.mapInArrow(_codes(tree, digits, min(DIRECTIONS, cells)), "v long, c binary, code long")
         found = coded.repartitionByRange(parts, "code", "v").sortWithinPartitions("code", "v").select("v", "c").mapInArrow(_blocks(k, leaf), EDGE)
         first = found if first is None else first.union(found)
-    graph = cut(kept(first, k), "graph")
-    for _ in range(rounds if n > leaf else 0):
-        both = graph.select(F.col("v").alias("hub"), "w").union(graph.select(F.col("w").alias("hub"), F.col("v").alias("w")))
-        both = both.union(nodes.select(F.col("v").alias("hub"), F.col("v").alias("w"))).distinct()
+    graph = cut(kept(first.select("*", new), k), "graph")
+    changed, turn = n > 1, 0
+    while changed:
+        both = graph.select(F.col("v").alias("hub"), "w", "new").union(graph.select(F.col("w").alias("hub"), F.col("v").alias("w"), "new"))
+        both = both.union(nodes.select(F.col("v").alias("hub"), F.col("v").alias("w"), F.lit(False))).groupBy("hub", "w").agg(F.min("new").alias("new"))
         degree = graph.groupBy(F.col("w").alias("hub")).agg(F.ceil((F.count("*") + k + 1) / GROUP).cast("int").alias("parts"))
-        both = both.join(degree, "hub", "left").withColumn("part", F.pmod(F.xxhash64("w"), F.coalesce("parts", F.lit(1))).cast("int"))
-        worst = graph.groupBy(F.col("v").alias("w")).agg(F.min("s").alias("worst"))
-        members = both.select("hub", "part", "w").join(nodes.withColumnRenamed("v", "w").join(worst, "w"), "w").select("hub", "part", "w", "worst", "c")
-        met = members.repartition("hub", "part").sortWithinPartitions("hub", "part").mapInArrow(_meet(k // 2), EDGE)
-        graph = cut(kept(graph.union(met), k), "graph")
-    return graph
+        both = both.join(degree, "hub", "left").withColumn("part", F.pmod(F.xxhash64("w", F.lit(turn)), F.coalesce("parts", F.lit(1))).cast("int"))
+        # members that are dealt anew can meet others for the first time
+        both = both.withColumn("new", F.col("new") | (F.coalesce("parts", F.lit(1)) > 1))
+        worst = graph.groupBy(F.col("v").alias("w")).agg(F.when(F.count("*") >= k, F.min("s")).alias("worst"))
+        rated = nodes.withColumnRenamed("v", "w").join(worst, "w", "left").withColumn("worst", F.coalesce("worst", F.lit(-1.5).cast("float")))
+        members = both.select("hub", "part", "w", "new").join(rated, "w").select("hub", "part", "w", "new", "worst", "c")
+        # k of a group are enough: what they crowd out is worse than a node's new k best
+        met = members.repartition("hub", "part").sortWithinPartitions("hub", "part").mapInArrow(_meet(k), EDGE)
+        old = graph.select("v", "w", "s", F.lit(False).alias("new"))
+        graph = cut(kept(old.union(met.select("*", new)), k), "graph")
+        changed = graph.where("new").count() > settled * graph.count()
+        turn += 1
+    return graph.drop("new")
 
 
 def _rated(batches):
@@ -195,23 +209,25 @@ def _exact(batches):
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(s)], ["query_id", "vec_id", "score"])
 
 
-def search(graph: DataFrame, nodes: DataFrame, starts: DataFrame, beam: int = BEAM, expand: int = EXPAND, steps: int = STEPS) -> DataFrame:
-    """(q, w, s) visited by a greedy search from each start node q, q itself included."""
+def search(graph: DataFrame, nodes: DataFrame, starts: DataFrame, beam: int = BEAM, expand: int = EXPAND) -> DataFrame:
+    """(q, w, s) visited by a greedy search from each start node q, q itself included,
+    until the best ``beam`` of each are all expanded."""
     links = cut(graph.select("v", "w").union(graph.select(F.col("w").alias("v"), F.col("v").alias("w"))).distinct(), "links")
     order = Window.partitionBy("q").orderBy(F.desc("s"), "w")
     state = starts.select(F.col("v").alias("q"), F.col("v").alias("w"), F.lit(1.0).cast("float").alias("s"), F.lit(False).alias("expanded"))
     qx = starts.join(nodes, "v").toDF("q", "qx")
-    for step in range(steps + 1):
+    while True:
         # the best beam, of which the first few that were not expanded yet are
         near = state.withColumn("r", F.row_number().over(order))
         near = near.withColumn("nth", F.sum(F.when(~F.col("expanded") & (F.col("r") <= beam), 1).otherwise(0)).over(order))
         go = ~F.col("expanded") & (F.col("r") <= beam) & (F.col("nth") <= expand)
         near = cut(near.select("q", "w", "s", "expanded", go.alias("go")), "beam")
+        if near.where("go").isEmpty():
+            return near.select("q", "w", "s")
         reached = near.where("go").select("q", F.col("w").alias("v")).join(links, "v").select("q", "w").distinct()
         fresh = reached.join(near.select("q", "w"), ["q", "w"], "left_anti")
         rated = fresh.join(nodes.toDF("w", "x"), "w").join(qx, "q").select("q", "w", "x", "qx").mapInArrow(_rated, "q long, w long, s float")
         state = near.select("q", "w", "s", (F.col("expanded") | F.col("go")).alias("expanded")).union(rated.withColumn("expanded", F.lit(False)))
-    return state.select("q", "w", "s")
 
 
 def nearest(vectors: DataFrame, every: int = 50, k: int = 5, graph_k: int = K) -> DataFrame:

@@ -48,13 +48,11 @@ class ChunkTable(dict):
 
 
 def load(path: str):
-    """A tokenizers file, one thread, with special strings taken as ordinary text."""
+    """A tokenizers file as it comes, one thread: special strings in a text are their ids."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
-    tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True
-    return tokenizer
+    return Tokenizer.from_file(path)
 
 
 @functools.cache

@@ -51,11 +51,14 @@ def series(rollup: DataFrame, unit: str, hours: int, limit: int, as_of) -> DataF
     return rows.orderBy(F.desc("bucket")).limit(limit).orderBy("bucket")
 
 
-def source_top(rollup: DataFrame, limit: int) -> DataFrame:
-    rows = rollup.groupBy("source_addr").agg(
+def source_totals(rollup: DataFrame) -> DataFrame:
+    return rollup.groupBy("source_addr").agg(
         *status_sums(F.col("total_count")), F.sum("raw_bytes").cast("long").alias("raw_bytes"), F.max("bucket_minute").alias("last_seen")
     )
-    return rows.orderBy(F.desc("total"), "source_addr").limit(limit)
+
+
+def source_top(rollup: DataFrame, limit: int) -> DataFrame:
+    return source_totals(rollup).orderBy(F.desc("total"), "source_addr").limit(limit)
 
 
 def event_stats(events: DataFrame) -> DataFrame:

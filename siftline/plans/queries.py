@@ -286,7 +286,7 @@ def device_backfill(spark, sf_dir):
     FROM keys FULL JOIN top ON key = regexp_replace(source_addr, '^[a-z]+://', '') GROUP BY 1, 2, 3"""
 )
 def device_rollup(spark, sf_dir):
-    return shown(joins.device_rollup(devices(spark), metrics.source_top(rollup(spark, sf_dir), 1000)))
+    return shown(joins.device_rollup(devices(spark), metrics.source_totals(rollup(spark, sf_dir))))
 
 
 @register(" SELECT event_id FROM ev WHERE line_id % 3 <> 0")

@@ -141,10 +141,9 @@ def adapted(events: DataFrame, path: Column | None = None) -> DataFrame:
     return events.select(EVENT_COLUMNS)
 
 
-def tiered(search: Search, hot: DataFrame | None = None, parquet: DataFrame | None = None, frozen: DataFrame | None = None, dedup: bool = False) -> DataFrame:
-    """Hot rows first, then Parquet archives (by ``path``), then frozen ones, each newest
-    first, up to the limit. Adds result_source and archive_path. ``dedup`` keeps an
-    event_id's row of the first tier alone."""
+def tier_rows(search: Search, hot: DataFrame | None = None, parquet: DataFrame | None = None, frozen: DataFrame | None = None, dedup: bool = False) -> DataFrame:
+    """All matching rows of the tiers, in no order and without a limit, with tier_rank,
+    result_source and archive_path. ``dedup`` keeps an event_id's row of the first tier alone."""
     tiers = [("hot", hot, search.scope != "archive"), ("parquet", parquet, search.scope != "hot"), ("frozen", frozen, search.scope != "hot")]
     found = None
     for rank, (name, events, wanted) in enumerate(tiers):
@@ -159,6 +158,13 @@ def tiered(search: Search, hot: DataFrame | None = None, parquet: DataFrame | No
     if dedup:
         first = found.groupBy("event_id").agg(F.min("tier_rank").alias("tier_rank"))
         found = found.join(first, ["event_id", "tier_rank"], "left_semi")
+    return found
+
+
+def tiered(search: Search, hot: DataFrame | None = None, parquet: DataFrame | None = None, frozen: DataFrame | None = None, dedup: bool = False) -> DataFrame:
+    """Hot rows first, then Parquet archives (by ``path``), then frozen ones, each newest
+    first, up to the limit. Adds result_source and archive_path."""
+    found = tier_rows(search, hot, parquet, frozen, dedup)
     order = ["tier_rank", F.asc_nulls_first("archive_path"), F.desc("ingest_time"), F.desc("event_id")]
     return found.orderBy(*order).limit(clamp(search.limit, QUERY_LIMIT)).drop("tier_rank")
 

@@ -261,7 +261,7 @@ def action_facets(spark, sf_dir):
 
 @register(" SELECT DISTINCT CAST(CAST(strptime(regexp_extract(raw, '((?:19|20)[0-9]{2}-[01][0-9]-[0-3][0-9])', 1), '%Y-%m-%d') AS DATE) AS VARCHAR) AS day FROM lines WHERE shape IN (3, 7)")
 def log_days(spark, sf_dir):
-    return shown(metrics.log_days(lines(spark, sf_dir).where("shape in (3, 7)")))
+    return shown(metrics.log_days(lines(spark, sf_dir)))
 
 
 # ---------------------------------------------------------------- joins
@@ -379,7 +379,7 @@ def tier_search_schema_adapt(spark, sf_dir):
 def tier_search_dedup(spark, sf_dir):
     rows, part, _ = _tiers(spark, sf_dir)
     cold = rows.where("line_id % 8 in (0, 1)").select(EVENT_COLUMNS)
-    return search.tiered(Search(limit=100_000), part(0), cold, dedup=True).groupBy("event_id").agg(F.count("*").alias("n"))
+    return search.tier_rows(Search(), part(0), cold, dedup=True).groupBy("event_id").agg(F.count("*").alias("n"))
 
 
 # ---------------------------------------------------------------- learning

@@ -3,6 +3,9 @@ Bloom filters as plain columns, and connected components by Spark joins."""
 
 from __future__ import annotations
 
+import ctypes
+import gc
+import math
 import tempfile
 import uuid
 from pathlib import Path
@@ -13,6 +16,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 ROOT = str(Path(__file__).resolve().parents[2])
+#: bytes of an Arrow batch; one text may be larger
+BATCH = "4m"
+#: a Bloom filter's largest size; beyond it more rows pass, which costs time and no result
+MOST_BITS = 26
 
 
 def ship(spark: SparkSession) -> None:
@@ -21,9 +28,45 @@ def ship(spark: SparkSession) -> None:
     have = spark.sparkContext.environment.get("PYTHONPATH", "")
     if ROOT not in have.split(":"):
         spark.sparkContext.environment["PYTHONPATH"] = f"{ROOT}:{have}".rstrip(":")
-    size = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if spark.conf.get(size) == "10000":  # Spark's default
-        spark.conf.set(size, "500")
+    size = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(size) == "67108864b":  # Spark's default
+        spark.conf.set(size, BATCH)
+
+
+#: what the operator that ran last in this Python worker keeps between its tasks
+_kept: dict = {}
+
+
+def kept(owner: tuple) -> dict:
+    """A worker's cache for ``owner``. Workers are used again by later stages: what another
+    operator left there goes first, and its memory back to the system."""
+    if owner not in _kept:
+        _kept.clear()
+        release()
+    return _kept.setdefault(owner, {})
+
+
+def release() -> None:
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
+def lean(run, owner: tuple = ("nothing",)):
+    """``run``, for mapInArrow, in a worker that keeps only what ``owner`` cached; a task's
+    memory goes back to the system when it ends."""
+
+    def lean_run(batches):
+        kept(owner)
+        try:
+            yield from run(batches)
+        finally:
+            release()
+
+    return lean_run
 
 
 def work_dir(spark: SparkSession) -> str:
@@ -49,6 +92,28 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+class Scratch:
+    """The cuts of one run in a folder of their own. drop() deletes cuts that nothing reads
+    any more: no frame that is still to be computed may come from them."""
+
+    def __init__(self, spark: SparkSession, name: str):
+        self.spark, self.root, self.paths = spark, f"{work_dir(spark)}/{name}-{uuid.uuid4().hex}", []
+
+    def cut(self, df: DataFrame, name: str) -> DataFrame:
+        path = f"{self.root}/{len(self.paths)}-{name}"
+        df.write.parquet(path)
+        out = self.spark.read.schema(df.schema).parquet(path)
+        self.paths.append((out, path))
+        return out
+
+    def drop(self, *frames: DataFrame) -> None:
+        fs = self.spark._jvm.org.apache.hadoop.fs
+        for out, path in self.paths:
+            if any(out is f for f in frames):
+                where = fs.Path(path)
+                where.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
 # ---------------------------------------------------------------- Bloom filters
 
 
@@ -60,6 +125,11 @@ def bloom_bits(key: Column, log2_bits: int, hashes: int, seed: int = 0) -> list[
     ]
 
 
+def bits_for(n: int, least: int = 10) -> int:
+    """The size of a filter of n keys: about 16 bits a key, up to MOST_BITS."""
+    return min(MOST_BITS, max(least, math.ceil(math.log2(16 * max(n, 1)))))
+
+
 def bloom_words(df: DataFrame, key: Column, log2_bits: int, hashes: int = 3, seed: int = 0) -> np.ndarray:
     """The filter's 64-bit words. Spark ors the bits of each word before anything moves;
     the driver gets at most 2**(log2_bits - 6) rows, whatever the size of ``df``."""
@@ -92,10 +162,11 @@ def bloom_hit(words: np.ndarray, key: Column, log2_bits: int, hashes: int = 3, s
     return hit
 
 
-def without(docs: DataFrame, removed: DataFrame, log2_bits: int = 20) -> DataFrame:
+def without(docs: DataFrame, removed: DataFrame) -> DataFrame:
     """Rows of ``docs`` whose key is not in ``removed`` (columns doc_id and, where given,
     text_sha256). Rows that a filter of the removed ids lets through never move; the few
     others are settled by an anti join. A null doc_id is a key like any other."""
+    log2_bits = bits_for(removed.count())
     words = bloom_words(removed, F.col("doc_id"), log2_bits)
     maybe = bloom_hit(words, F.col("doc_id"), log2_bits)
     out = removed.select([F.col(c).alias(f"_removed_{c}") for c in removed.columns]).distinct()
@@ -108,29 +179,62 @@ def without(docs: DataFrame, removed: DataFrame, log2_bits: int = 20) -> DataFra
 # ---------------------------------------------------------------- components
 
 
-def components(edges: DataFrame, name: str = "components") -> DataFrame:
+def _contract(most: int = 1 << 20):
+    """Edges (u, v) to stars (u, least id of u's component among the edges of this task so
+    far). At most ``most`` edges are held."""
+
+    def stars(u, v):
+        ids, at = np.unique(np.concatenate([u, v]), return_inverse=True)
+        a, b = at[: len(u)], at[len(u) :]
+        root = np.arange(len(ids))
+        while True:
+            low = np.minimum(root[a], root[b])
+            np.minimum.at(root, root[a], low)
+            np.minimum.at(root, root[b], low)
+            while (root[root] != root).any():
+                root = root[root]
+            if (root[a] == root[b]).all():
+                break
+        far = np.flatnonzero(root != np.arange(len(ids)))
+        return ids[far], ids[root[far]]
+
+    def run(batches):
+        u = v = np.zeros(0, np.int64)
+        for batch in batches:
+            u = np.concatenate([u, batch.column(0).to_numpy()])
+            v = np.concatenate([v, batch.column(1).to_numpy()])
+            if len(u) >= most:
+                u, v = stars(u, v)
+                if len(u) >= most // 2:
+                    yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], ["u", "v"])
+                    u = v = np.zeros(0, np.int64)
+        if len(u):
+            u, v = stars(u, v)
+            yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], ["u", "v"])
+
+    return run
+
+
+def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     """Connected components of undirected edges (a, b): rows (id, component), where
-    component is the smallest id of the component. Alternates two star contractions
-    until the edge set stands still; every round is written, nothing is collected."""
-    now = cut(
-        edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(),
-        name,
-    )
-    mark = None
+    component is the smallest id of the component. Tasks contract the edges that they hold
+    to stars; while a node stands in two stars, all edges go through two star contractions
+    and are contracted again. Every round is written, nothing is collected."""
+    ship(edges.sparkSession)
+    near = lambda df: df.mapInArrow(lean(_contract()), "u long, v long")
+    now = scratch.cut(near(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()), "stars")
     while True:
+        # done when each node is either a root or in one star
+        roles = now.select(F.col("u").alias("id"), F.lit(1).alias("n")).union(now.select("v", F.lit(0)).distinct())
+        if roles.groupBy("id").agg(F.count("*").alias("rows"), F.sum("n").alias("n")).where("n > 1 or (n = 1 and rows > 1)").isEmpty():
+            break
         both = now.union(now.select("v", "u"))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         large = large.where("u <> v").distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u")
-        small = small.select("u", F.col("m").alias("v")).union(
-            small.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        )
-        now = cut(small.distinct(), name)
-        seen = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if seen == mark:
-            break
-        mark = seen
-    stars = now.select(F.col("u").alias("id"), F.col("v").alias("component"))
-    return stars.union(stars.select("component", "component").distinct())
+        small = small.select("u", F.col("m").alias("v")).union(small.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")))
+        before, now = now, scratch.cut(near(small.distinct()), "stars")
+        scratch.drop(before)
+    return now.select(F.col("u").alias("id"), F.col("v").alias("component"))

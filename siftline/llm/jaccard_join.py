@@ -4,10 +4,11 @@
 one weakness is that sets without a common shingle are all at distance 1 from each other,
 where no pivot separates anything. The space is therefore first cut into blocks: sets that
 link must share a shingle among their first n - ceil(3n/4) + 1 in a common order (rarest
-first, by a count sketch of fixed size over all documents). Within each block:
+first, by a count sketch over all documents that is sized by the input). In each block:
 
 1. The smallest set is the block's pivot, and its distance to every member is found
-   (first bounded by what their prefixes share, then exactly where a link is possible).
+   (first bounded by what short codes of their prefixes share, then exactly where a link
+   is possible).
    Members within the radius form its region and need no more comparison among
    themselves: they hang together through the pivot.
 2. By the triangle inequality a member x outside can only link with region members y of
@@ -18,20 +19,27 @@ first, by a count sketch of fixed size over all documents). Within each block:
 
 Equal sets are one point of the space: they are collapsed first and only their smallest
 doc_id takes part. Nothing is capped: large blocks are cut into cells that meet pairwise.
+How many levels recur, and when the pairs that are left count as few, changes the cost and
+not the result, as do the sizes of the sketch and of the filters.
+
+A word is known by 64 bits and a shingle by 64 mixed bits of its words' in order.
 """
 
 from __future__ import annotations
 
+import hashlib
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siftline.llm.common import bloom_hit, bloom_words, components, cut, ship
+from siftline.llm.common import Scratch, bits_for, bloom_hit, bloom_words, components, lean, ship
 
-SKETCH_BITS = 22
+#: log2 of the sketch's cells, and the parts in which it is added up
+LEAST_SKETCH, MOST_SKETCH = 12, 24
 SKETCH_PARTS = 64
-BLOOM_BITS = 20
 CELL = 512
 RADIUS = 0.25
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -51,52 +59,40 @@ def mixed(h: np.ndarray) -> np.ndarray:
 class Shingler:
     """Sorted distinct 64-bit hashes of a text's word shingles.
 
-    A word's hash is a polynomial of random values of its bytes, read off running sums
-    over a piece of text; pieces end at white space, so memory is bounded by PIECE or the
-    longest word.
+    A word is hashed eight bytes at a time, all words of a text together: each step mixes
+    the next bytes into what came before, beginning with the length. Words of more than
+    LONG bytes go by their BLAKE2 digest.
     """
 
-    PIECE = 1 << 18
+    LONG = 24
+    SPACE = np.isin(np.arange(256), [32, *range(9, 14)])
+    #: the first k of eight bytes
+    MASKS = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 
     def __init__(self, width: int = 5):
         self.width = width
-        self.values = np.random.default_rng(20240229).integers(0, 1 << 64, 256, np.uint64)
-        self.space = np.zeros(256, bool)
-        self.space[[32, *range(9, 14)]] = True
-        self.base = np.uint64(0x5851F42D4C957F2D)
-        self.inverse = np.uint64(pow(int(self.base), -1, 1 << 64))
-        self.grow(self.PIECE)
-
-    def grow(self, n: int) -> None:
-        self.powers = np.cumprod(np.full(n, self.base))
-        self.inverses = np.cumprod(np.full(n, self.inverse))
 
     def words(self, data: bytes) -> np.ndarray:
         """Hashes of the words: runs without white space in ASCII."""
-        out, at = [], 0
-        while at < len(data):
-            stop = len(data)
-            if stop - at > self.PIECE:
-                gap = max(data.rfind(bytes([c]), at, at + self.PIECE) for c in (32, 10, 9, 13, 11, 12))
-                # a word longer than a piece goes on to the next white space, found by doubling
-                size = self.PIECE
-                while gap < 0 and at + size < len(data):
-                    size *= 2
-                    gap = max(data.find(bytes([c]), at, at + size) for c in (32, 10, 9, 13, 11, 12))
-                stop = gap + 1 if gap >= 0 else len(data)
-            b = np.frombuffer(data, np.uint8, stop - at, at)
-            if len(b) > len(self.powers):
-                self.grow(len(b))
-            space = self.space[b]
-            turns = np.flatnonzero(space[1:] != space[:-1]) + 1
-            edges = np.concatenate([[] if space[0] else [0], turns, [] if space[-1] else [len(b)]]).astype(np.int64)
-            sums = np.empty(len(b) + 1, np.uint64)
-            sums[0] = 0
-            np.cumsum(self.values[b] * self.powers[: len(b)], out=sums[1:])
-            start, end = edges[::2], edges[1::2]
-            out.append((sums[end] - sums[start]) * self.inverses[start])
-            at = stop
-        return mixed(np.concatenate(out)) if out else np.zeros(0, np.uint64)
+        space = self.SPACE[np.frombuffer(data, np.uint8)]
+        turns = np.flatnonzero(space[1:] != space[:-1]) + 1
+        edges = np.concatenate([[] if space[:1].all() else [0], turns, [] if space[-1:].all() else [len(data)]]).astype(np.int64)
+        at, end = edges[::2], edges[1::2]
+        eight = np.ndarray(len(data) + 1, "<u8", data + bytes(8), strides=(1,))
+        left = end - at
+        step = lambda h, at, left: mixed((h ^ (eight[at] & self.MASKS[np.minimum(left, 8)])) * MULTIPLIERS[1])
+        h = step(left.astype(np.uint64), at, left)
+        more = np.flatnonzero(left > 8)
+        at, left = at[more] + 8, left[more] - 8
+        if (long := left > self.LONG).any():
+            for i in more[long].tolist():
+                h[i] = int.from_bytes(hashlib.blake2b(data[edges[2 * i] : end[i]], digest_size=8).digest(), "little")
+            more, at, left = more[~long], at[~long], left[~long]
+        while len(more):
+            h[more] = step(h[more], at, left)
+            go = left > 8
+            more, at, left = more[go], at[go] + 8, left[go] - 8
+        return h
 
     def __call__(self, text: str | None) -> np.ndarray:
         h = self.words((text or "").encode().translate(LOWER))
@@ -106,81 +102,99 @@ class Shingler:
         n = len(h) - k + 1
         out = np.full(n, k, np.uint64)
         for i in range(k):
-            m = MULTIPLIERS[i % len(MULTIPLIERS)] + np.uint64(2 * (i // len(MULTIPLIERS)))
-            out += h[i : i + n] * m
+            out += h[i : i + n] * (MULTIPLIERS[i % len(MULTIPLIERS)] + np.uint64(2 * (i // len(MULTIPLIERS))))
         out = mixed(out)
         out.sort()
         return out[np.concatenate([[True], out[1:] != out[:-1]])]
 
 
-def listed(arrays: list[np.ndarray]) -> pa.Array:
-    """One list<int64> per array."""
+def listed(arrays: list[np.ndarray], kind=np.int64) -> pa.Array:
+    """One list per array."""
     offsets = np.concatenate([[0], np.cumsum([len(a) for a in arrays])]).astype(np.int32)
-    flat = np.concatenate(arrays).view(np.int64) if arrays else np.zeros(0, np.int64)
+    flat = np.concatenate(arrays).view(kind) if arrays else np.zeros(0, kind)
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))
 
 
-def _counts(width):
+def _counts(width, bits):
     def run(batches):
-        shingles, counts = Shingler(width), np.zeros(1 << SKETCH_BITS, np.uint32)
+        shingles, counts = Shingler(width), np.zeros(1 << bits, np.uint32)
         for batch in batches:
             for text in batch.column(0).to_pylist():
-                np.add.at(counts, (shingles(text) >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), np.uint32(1))
-        parts = np.minimum(counts, 65535).astype("<u2").reshape(SKETCH_PARTS, -1)
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(SKETCH_PARTS, dtype=np.int32)), pa.array([p.tobytes() for p in parts], pa.binary())], ["part", "counts"])
+                np.add.at(counts, (shingles(text) >> np.uint64(64 - bits)).astype(np.int64), np.uint32(1))
+        # each part in as few bytes as its largest count needs
+        parts = [p.astype(np.min_scalar_type(p.max())).tobytes() for p in counts.reshape(SKETCH_PARTS, -1)]
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(SKETCH_PARTS, dtype=np.int32)), pa.array(parts, pa.binary())], ["part", "counts"])
 
     return run
 
 
-def _added(batches):
-    """Rows in order of part: the sums of each part's counts."""
-    part, sums = None, None
+def _added(bits):
+    """Rows in order of part: the sums of each part's counts, as 1024ths of their log2."""
+    cells = (1 << bits) // SKETCH_PARTS
 
-    def row():
-        return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([np.minimum(sums, 65535).astype("<u2").tobytes()], pa.binary())], ["part", "counts"])
+    def run(batches):
+        part, sums = None, None
 
-    for batch in batches:
-        for p, counts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            if p != part:
-                if sums is not None:
-                    yield row()
-                part, sums = p, np.zeros((1 << SKETCH_BITS) // SKETCH_PARTS, np.int64)
-            sums += np.frombuffer(counts, "<u2")
-    if sums is not None:
-        yield row()
+        def row():
+            levels = np.rint(1024 * np.log2(1.0 + sums)).astype("<u2")
+            return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([levels.tobytes()], pa.binary())], ["part", "counts"])
+
+        for batch in batches:
+            for p, counts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                if p != part:
+                    if sums is not None:
+                        yield row()
+                    part, sums = p, np.zeros(cells, np.int64)
+                sums += np.frombuffer(counts, f"<u{len(counts) // cells}")
+        if sums is not None:
+            yield row()
+
+    return run
 
 
 def _sketch(texts: DataFrame, width: int) -> np.ndarray:
-    """How often each of 2**SKETCH_BITS cells of shingles occurs, up to 65535: 8 MB on the
-    driver, whatever the input."""
-    found = texts.mapInArrow(_counts(width), "part int, counts binary").repartition("part").sortWithinPartitions("part").mapInArrow(_added, "part int, counts binary")
-    parts = np.zeros((SKETCH_PARTS, (1 << SKETCH_BITS) // SKETCH_PARTS), np.uint16)
-    for row in found.collect():
+    """How often each cell of shingles occurs, on a logarithmic scale that never fills up.
+    A cell for about every 100 bytes of text, 2**MOST_SKETCH cells (32 MB) at most."""
+    size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 1
+    bits = min(MOST_SKETCH, max(LEAST_SKETCH, math.ceil(math.log2(size / 100))))
+    found = texts.mapInArrow(lean(_counts(width, bits)), "part int, counts binary").repartition("part").sortWithinPartitions("part")
+    parts = np.zeros((SKETCH_PARTS, (1 << bits) // SKETCH_PARTS), np.uint16)
+    for row in found.mapInArrow(lean(_added(bits)), "part int, counts binary").toLocalIterator():
         parts[row["part"]] = np.frombuffer(row["counts"], "<u2")
     return parts.ravel()
 
 
 def _prefixes(width, sketch):
+    """Per text: its set's size and two sums that know it, its prefix, rarest first, and
+    the distinct 16-bit codes of the prefix."""
+
     def run(batches):
         shingles, counts = Shingler(width), sketch.value
+        shift = np.uint64(65 - len(counts).bit_length())
         for batch in batches:
-            ns, one, two, heads = [], [], [], []
+            ns, one, two, heads, codes = [], [], [], [], []
             for text in batch.column(1).to_pylist():
                 h = shingles(text)
                 n = len(h)
-                order = np.argsort(counts[(h >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)], kind="stable")
+                order = np.argsort(counts[(h >> shift).astype(np.int64)], kind="stable")
                 ns.append(n)
                 one.append(int(h.sum(dtype=np.uint64).view(np.int64)))
                 two.append(int(mixed(h * MULTIPLIERS[0]).sum(dtype=np.uint64).view(np.int64)))
-                heads.append(h[order[: n - -(-3 * n // 4) + 1]] if n else h)
+                heads.append(h[order[: prefix_size(n)]] if n else h)
+                codes.append(np.unique(heads[-1].astype(np.uint16)))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(ns, pa.int64()), pa.array(one, pa.int64()), pa.array(two, pa.int64()), listed(heads)],
-                ["doc_id", "n", "fp1", "fp2", "prefix"],
+                [batch.column(0), pa.array(ns, pa.int64()), pa.array(one, pa.int64()), pa.array(two, pa.int64()), listed(heads), listed(codes, np.int16)],
+                ["doc_id", "n", "fp1", "fp2", "prefix", "codes"],
             )
 
     return run
 
 
+def prefix_size(n):
+    """Sets of n shingles that link share one among their first so many."""
+    return n - -(-3 * n // 4) + 1
+
+
 def _sets(width):
     def run(batches):
         shingles = Shingler(width)
@@ -214,7 +228,7 @@ def _pivots(batches):
             last, pivot = s[-1], (pivots[-1], sizes[-1])
         elif len(s) > 1:
             last, pivot = s[-2], (pivots[-2], sizes[-2])
-        out = table.append_column("pivot", pa.array(pivots, pa.int64())).append_column("pivot_n", pa.array(sizes, pa.int64()))
+        out = table.append_column("pivot", pa.array(pivots, pa.int64())).append_column("pivot_n", pa.array(sizes, pa.int32()))
         yield from out.filter(pa.array(keep)).to_batches()
 
 
@@ -262,16 +276,19 @@ def _with_pivots(rows: DataFrame, *order) -> DataFrame:
     rows = rows.select("s", "doc", "n", "room", first.alias("o"))
     return (
         rows.repartition("s").sortWithinPartitions("s", "o", "n", "doc").drop("o")
-        .mapInArrow(_pivots, "s long, doc long, n long, room long, pivot long, pivot_n long")
+        .mapInArrow(lean(_pivots), "s long, doc long, n int, room int, pivot long, pivot_n int")
     )
 
 
 def _screened(pairs: DataFrame, points: DataFrame) -> DataFrame:
     """pairs (a, b) of distinct documents: (a, b, low, maybe), from their prefixes alone.
     Common shingles after the prefix that ends first number at most what is left of that
-    set, so low bounds the distance from below, and maybe says if they could link."""
-    left, right = points.toDF("a", "na", "pa"), points.toDF("b", "nb", "pb")
-    most = F.size(F.array_intersect("pa", "pb")) + F.greatest(F.col("na") - F.size("pa"), F.col("nb") - F.size("pb"))
+    set, and codes that two shingles of a prefix share hide at most as many as there are,
+    so low bounds the distance from below, and maybe says if they could link."""
+    left, right = points.toDF("a", "na", "ca"), points.toDF("b", "nb", "cb")
+    size = lambda n: F.expr(f"{n} - ceil(3 * {n} / 4) + 1")
+    hidden = F.least(size("na") - F.size("ca"), size("nb") - F.size("cb"))
+    most = F.size(F.array_intersect("ca", "cb")) + hidden + F.greatest(F.col("na") - size("na"), F.col("nb") - size("nb"))
     both = pairs.join(left, "a").join(right, "b").select("a", "b", "na", "nb", F.least(most, "na", "nb").alias("most"))
     return both.select("a", "b", (1 - F.col("most") / (F.col("na") + F.col("nb") - F.col("most"))).alias("low"), (7 * F.col("most") >= 3 * (F.col("na") + F.col("nb"))).alias("maybe"))
 
@@ -279,8 +296,10 @@ def _screened(pairs: DataFrame, points: DataFrame) -> DataFrame:
 def _measured(pairs: DataFrame, rows: DataFrame, width: int) -> DataFrame:
     """pairs (a, b) of distinct documents: (a, b, d, linked), exactly. Only texts of the
     pairs' documents are cut into shingles."""
-    ids = bloom_words(pairs.select(F.explode(F.array("a", "b")).alias("doc")), F.col("doc"), BLOOM_BITS)
-    sets = rows.where(bloom_hit(ids, F.col("doc_id"), BLOOM_BITS)).mapInArrow(_sets(width), "doc long, shingles array<long>")
+    docs = pairs.select(F.explode(F.array("a", "b")).alias("doc"))
+    bits = bits_for(2 * pairs.count())
+    ids = bloom_words(docs, F.col("doc"), bits)
+    sets = rows.where(bloom_hit(ids, F.col("doc_id"), bits)).mapInArrow(lean(_sets(width)), "doc long, shingles array<long>")
     left, right = sets.toDF("a", "sa"), sets.toDF("b", "sb")
     both = F.size(F.array_intersect("sa", "sb")).cast("long")
     union = F.size("sa") + F.size("sb") - both
@@ -325,66 +344,82 @@ def jaccard_components(docs: DataFrame, width: int = 5, levels: int = 4, few: in
     ``width`` is one shingle. Null texts and texts without words have an empty set, link
     with nothing and are their own component. Rows with a null doc_id keep their set size
     and have a null component. Rows that repeat a doc_id each give a row; a doc_id that
-    stands for different texts links wherever one of them does. An empty table gives no rows. Columns other than doc_id and text are not read.
+    stands for different texts links wherever one of them does. Words and texts of any
+    length count whole; a text's set is held in one task's memory. An empty table gives no
+    rows. Columns other than doc_id and text are not read.
     """
     spark = docs.sparkSession
     ship(spark)
+    scratch = Scratch(spark, "jaccard")
+    cut = scratch.cut
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     sketch = spark.sparkContext.broadcast(_sketch(rows.select("text"), width))
-    heads = cut(rows.mapInArrow(_prefixes(width, sketch), "doc_id long, n long, fp1 long, fp2 long, prefix array<long>"), "prefixes")
+    schema = "doc_id long, n long, fp1 long, fp2 long, prefix array<long>, codes array<short>"
+    heads = cut(rows.mapInArrow(lean(_prefixes(width, sketch)), schema), "prefixes")
+    sketch.destroy()
 
     # equal sets are one point
     named = heads.where("n > 0 and doc_id is not null")
-    same = cut(named.groupBy(*SAME).agg(F.min("doc_id").alias("rep"), F.count("*").alias("k")).where("k > 1"), "equal-sets")
-    maybe = bloom_hit(bloom_words(same, F.struct(*SAME), BLOOM_BITS), F.struct(*SAME), BLOOM_BITS)
-    points = named.where(~maybe).select("doc_id", "n", "prefix")
-    points = points.union(named.where(maybe).join(same, SAME, "left").where("rep is null or rep = doc_id").select("doc_id", "n", "prefix").dropDuplicates(["doc_id"]))
-    index = points.select("doc_id", "n", F.posexplode("prefix")).select(
-        F.col("col").alias("s"), F.col("doc_id").alias("doc"), "n", (F.col("n") - F.col("pos")).alias("room")
-    )
+    same = cut(named.groupBy(*SAME).agg(F.min("doc_id").alias("rep"), F.count("*").alias("k")).where("k > 1").drop("k"), "equal-sets")
+    bits = bits_for(same.count())
+    maybe = bloom_hit(bloom_words(same, F.struct(*SAME), bits), F.struct(*SAME), bits)
+
+    def points(*columns):
+        once = named.select("doc_id", *SAME, *columns)
+        copies = once.where(maybe).join(same, SAME, "left").where("rep is null or rep = doc_id").dropDuplicates(["doc_id", *SAME])
+        return once.where(~maybe).union(copies.select(once.columns)).select("doc_id", "n", *columns)
 
+    index = points("prefix").select("doc_id", "n", F.posexplode("prefix")).select(
+        F.col("col").alias("s"), F.col("doc_id").alias("doc"), F.col("n").cast("int"), (F.col("n") - F.col("pos")).cast("int").alias("room")
+    )
     blocks = cut(_with_pivots(index), "blocks")
-    ids = bloom_words(blocks.select("doc"), F.col("doc"), BLOOM_BITS)
-    points = points.where(bloom_hit(ids, F.col("doc_id"), BLOOM_BITS))
+    codes = cut(points("codes").join(blocks.select(F.col("doc").alias("doc_id")).distinct(), "doc_id", "left_semi"), "codes")
 
-    links = spark.createDataFrame([], "a long, b long")
-    before = None
+    comps = None
+    before, rest = None, None
     for level in range(levels):
         # distances to the pivots; sizes alone show d > 0.5 for the others
         near = 2 * F.least("n", "pivot_n") >= F.greatest("n", "pivot_n")
         pairs = blocks.where((F.col("doc") != F.col("pivot")) & near).select(F.col("pivot").alias("a"), F.col("doc").alias("b")).distinct()
-        known = cut(_screened(pairs, points), "bounds")
+        known = cut(_screened(pairs, codes), "bounds")
         exact = cut(_measured(known.where("maybe").select("a", "b"), rows, width), "distances")
-        links = links.union(exact.where("linked").select("a", "b"))
-        comps = cut(components(links), "regions")
+        comps = _joined(comps, exact, scratch)
         to_pivot = known.join(exact, ["a", "b"], "left").select(F.col("a").alias("pivot"), F.col("b").alias("doc"), "low", "d", "linked")
         placed = blocks.where("doc <> pivot").join(to_pivot, ["pivot", "doc"], "left")
         placed = placed.withColumn("linked", F.coalesce("linked", F.lit(False))).withColumn("far", F.coalesce("d", "low", F.lit(0.5)))
+        placed = cut(placed.join(comps.toDF("doc", "component"), "doc", "left").select("s", "doc", "n", "room", "d", "linked", "far", F.coalesce("component", "doc").alias("comp")), "placed")
+        scratch.drop(known, exact, blocks)
         edge = placed.where("not linked").groupBy("s").agg(F.min("far").alias("nearest"))
-        rest = placed.join(edge, "s").where(f"not linked or d >= nearest - {RADIUS} - 1e-9")
-        rest = rest.join(comps.toDF("doc", "component"), "doc", "left").select(
-            "s", "doc", "n", "room", "d", "linked", F.coalesce("component", "doc").alias("comp")
-        )
-        rest = cut(rest, "outside")
-        shape = rest.groupBy("s").agg(F.count("*").alias("c"), F.min("comp").alias("low"), F.max("comp").alias("high")).where("c > 1 and low <> high")
-        left, work = shape.agg(F.sum("c"), F.sum(F.col("c").cast("double") * F.col("c"))).first()
-        if not left:
-            return _result(heads, same, links)
-        rest = rest.join(shape.select("s"), "s")
-        if level == levels - 1 or work <= few * left or (before is not None and left > 0.7 * before):
+        outside = placed.join(edge, "s").where(f"not linked or d >= nearest - {RADIUS} - 1e-9")
+        outside = cut(outside.select("s", "doc", "n", "room", "d", "linked", "comp"), "outside")
+        scratch.drop(placed)
+        shape = outside.groupBy("s").agg(F.count("*").alias("c"), F.min("comp").alias("low"), F.max("comp").alias("high")).where("c > 1 and low <> high")
+        rest = cut(outside.join(shape.select("s", "c"), "s"), "rest")
+        scratch.drop(outside)
+        left, work = rest.agg(F.count("*"), F.sum(F.col("c").cast("double"))).first()
+        if not left or level == levels - 1 or work <= few * left or (before is not None and left > 0.5 * before):
             break
         before = left
         blocks = cut(_with_pivots(rest, F.col("linked").cast("int")), "blocks")
-
-    cells = _cells(rest).repartition("s", "main", "i", "j").sortWithinPartitions("s", "main", "i", "j")
-    pairs = cells.mapInArrow(_cell_pairs, "a long, b long").distinct()
-    near = cut(_screened(pairs, points).where("maybe").select("a", "b"), "bounds")
-    more = cut(_measured(near, rows, width).where("linked").select("a", "b"), "links")
-    return _result(heads, same, links.union(more))
-
-
-def _result(heads: DataFrame, same: DataFrame, links: DataFrame) -> DataFrame:
-    comps = cut(components(links).toDF("rep", "component_id"), "components")
-    rows = heads.select("doc_id", "n", "fp1", "fp2").join(same.drop("k"), SAME, "left")
-    rows = rows.withColumn("rep", F.when(F.col("doc_id").isNotNull(), F.coalesce("rep", "doc_id")))
-    return rows.join(comps, "rep", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "rep").alias("component_id"))
+        scratch.drop(rest)
+
+    if left:
+        cells = _cells(rest).repartition("s", "main", "i", "j").sortWithinPartitions("s", "main", "i", "j")
+        pairs = cells.mapInArrow(lean(_cell_pairs), "a long, b long").distinct()
+        maybe_linked = cut(_screened(pairs, codes).where("maybe").select("a", "b"), "bounds")
+        comps = _joined(comps, cut(_measured(maybe_linked, rows, width), "links"), scratch)
+    scratch.drop(rest, codes)
+    narrow = cut(heads.select("doc_id", *SAME), "sizes")
+    scratch.drop(heads)
+    found = narrow.join(same, SAME, "left").withColumn("rep", F.when(F.col("doc_id").isNotNull(), F.coalesce("rep", "doc_id")))
+    found = found.join(comps.toDF("rep", "component_id"), "rep", "left")
+    return found.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "rep").alias("component_id"))
+
+
+def _joined(comps: DataFrame | None, exact: DataFrame, scratch: Scratch) -> DataFrame:
+    """The components after the links of ``exact`` (a, b, linked) joined them."""
+    links = exact.where("linked").select("a", "b")
+    after = components(links if comps is None else links.union(comps), scratch)
+    if comps is not None:
+        scratch.drop(comps)
+    return after

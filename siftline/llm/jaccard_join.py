@@ -64,7 +64,8 @@ class Shingler:
     LONG bytes go by their BLAKE2 digest.
     """
 
-    LONG = 24
+    LONG = 64
+    TOGETHER = 1 << 18
     SPACE = np.isin(np.arange(256), [32, *range(9, 14)])
     #: the first k of eight bytes
     MASKS = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
@@ -72,8 +73,8 @@ class Shingler:
     def __init__(self, width: int = 5):
         self.width = width
 
-    def words(self, data: bytes) -> np.ndarray:
-        """Hashes of the words: runs without white space in ASCII."""
+    def words(self, data: bytes) -> tuple[np.ndarray, np.ndarray]:
+        """Where the words begin, runs without white space in ASCII, and their hashes."""
         space = self.SPACE[np.frombuffer(data, np.uint8)]
         turns = np.flatnonzero(space[1:] != space[:-1]) + 1
         edges = np.concatenate([[] if space[:1].all() else [0], turns, [] if space[-1:].all() else [len(data)]]).astype(np.int64)
@@ -92,20 +93,38 @@ class Shingler:
             h[more] = step(h[more], at, left)
             go = left > 8
             more, at, left = more[go], at[go] + 8, left[go] - 8
-        return h
+        return edges[::2], h
 
-    def __call__(self, text: str | None) -> np.ndarray:
-        h = self.words((text or "").encode().translate(LOWER))
-        if not len(h):
-            return h
-        k = min(self.width, len(h))
+    @staticmethod
+    def mix(h: np.ndarray, k: int) -> np.ndarray:
+        """Hashes of the runs of k words."""
         n = len(h) - k + 1
-        out = np.full(n, k, np.uint64)
-        for i in range(k):
+        out = np.full(max(n, 0), k, np.uint64)
+        for i in range(k if n > 0 else 0):
             out += h[i : i + n] * (MULTIPLIERS[i % len(MULTIPLIERS)] + np.uint64(2 * (i // len(MULTIPLIERS))))
-        out = mixed(out)
-        out.sort()
-        return out[np.concatenate([[True], out[1:] != out[:-1]])]
+        return mixed(out)
+
+    def sets(self, texts):
+        """The set of each text, in order; short texts are hashed together."""
+        group, size = [], 0
+        for text in texts:
+            group.append((text or "").encode().translate(LOWER))
+            size += len(group[-1])
+            if size >= self.TOGETHER:
+                yield from self.group(group)
+                group, size = [], 0
+        yield from self.group(group)
+
+    def group(self, texts: list[bytes]):
+        starts, h = self.words(b"\n".join(texts))
+        bounds = np.searchsorted(starts, np.cumsum([0, *(len(t) + 1 for t in texts)])).tolist()
+        whole = self.mix(h, self.width)
+        for a, b in zip(bounds[:-1], bounds[1:]):
+            out = np.sort(whole[a : b - self.width + 1] if b - a >= self.width else self.mix(h[a:b], b - a) if b > a else h[:0])
+            yield out[np.concatenate([[True], out[1:] != out[:-1]])] if len(out) else out
+
+    def __call__(self, text: str | None) -> np.ndarray:
+        return next(self.sets([text]))
 
 
 def listed(arrays: list[np.ndarray], kind=np.int64) -> pa.Array:
@@ -119,8 +138,8 @@ def _counts(width, bits):
     def run(batches):
         shingles, counts = Shingler(width), np.zeros(1 << bits, np.uint32)
         for batch in batches:
-            for text in batch.column(0).to_pylist():
-                np.add.at(counts, (shingles(text) >> np.uint64(64 - bits)).astype(np.int64), np.uint32(1))
+            for h in shingles.sets(batch.column(0).to_pylist()):
+                np.add.at(counts, (h >> np.uint64(64 - bits)).astype(np.int64), np.uint32(1))
         # each part in as few bytes as its largest count needs
         parts = [p.astype(np.min_scalar_type(p.max())).tobytes() for p in counts.reshape(SKETCH_PARTS, -1)]
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(SKETCH_PARTS, dtype=np.int32)), pa.array(parts, pa.binary())], ["part", "counts"])
@@ -173,8 +192,7 @@ def _prefixes(width, sketch):
         shift = np.uint64(65 - len(counts).bit_length())
         for batch in batches:
             ns, one, two, heads, codes = [], [], [], [], []
-            for text in batch.column(1).to_pylist():
-                h = shingles(text)
+            for h in shingles.sets(batch.column(1).to_pylist()):
                 n = len(h)
                 order = np.argsort(counts[(h >> shift).astype(np.int64)], kind="stable")
                 ns.append(n)
@@ -201,7 +219,7 @@ def _sets(width):
         for batch in batches:
             for at in range(0, batch.num_rows, 64):
                 part = batch.slice(at, 64)
-                yield pa.RecordBatch.from_arrays([part.column(0), listed([shingles(t) for t in part.column(1).to_pylist()])], ["doc", "shingles"])
+                yield pa.RecordBatch.from_arrays([part.column(0), listed([*shingles.sets(part.column(1).to_pylist())])], ["doc", "shingles"])
 
     return run
 

@@ -98,20 +98,27 @@ class Scratch:
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.root, self.paths = spark, f"{work_dir(spark)}/{name}-{uuid.uuid4().hex}", []
+        self.n = 0
 
     def cut(self, df: DataFrame, name: str) -> DataFrame:
-        path = f"{self.root}/{len(self.paths)}-{name}"
+        self.n += 1
+        path = f"{self.root}/{self.n}-{name}"
         df.write.parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         self.paths.append((out, path))
         return out
 
     def drop(self, *frames: DataFrame) -> None:
+        """Also has the driver collect its garbage: Spark deletes a shuffle's files once
+        nothing on the driver refers to it."""
         fs = self.spark._jvm.org.apache.hadoop.fs
         for out, path in self.paths:
             if any(out is f for f in frames):
                 where = fs.Path(path)
                 where.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(where, True)
+        self.paths = [(out, path) for out, path in self.paths if not any(out is f for f in frames)]
+        gc.collect()
+        self.spark._jvm.System.gc()
 
 
 # ---------------------------------------------------------------- Bloom filters

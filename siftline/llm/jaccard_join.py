@@ -6,14 +6,15 @@ where no pivot separates anything. The space is therefore first cut into blocks:
 link must share a shingle among their first n - ceil(3n/4) + 1 in a common order (rarest
 first, by a count sketch over all documents that is sized by the input). In each block:
 
-1. The smallest set is the block's pivot, and its distance to every member is found
-   (first bounded by what short codes of their prefixes share, then exactly where a link
-   is possible).
-   Members within the radius form its region and need no more comparison among
-   themselves: they hang together through the pivot.
+1. The smallest set is the block's pivot. A document belongs to the Voronoi cell of one of
+   its blocks' pivots, the one that it shares most blocks with, and its distance to that
+   pivot is found (first bounded by what short codes of their prefixes share, then exactly
+   where a link is possible). Links join components. A block whose members are of one
+   component is done; otherwise the members of the pivot's component are its region and
+   need no comparison among themselves.
 2. By the triangle inequality a member x outside can only link with region members y of
-   d(y, pivot) >= d(x, pivot) - radius: that window stays with the outside, the rest of
-   the region leaves the block. Most blocks end here.
+   d(y, pivot) >= d(x, pivot) - radius: that window, and what has no known distance, stays
+   with the outside; the rest of the region leaves the block. Most blocks end here.
 3. What is left recurs with a new pivot from outside, until the pairs that are left are
    few; those are filtered by component, size, position and triangle window and compared.
 
@@ -226,28 +227,31 @@ def _sets(width):
 
 def _pivots(batches):
     """Rows in order of s, then of preference: each row of a block of two or more, with
-    the block's first document as its pivot. Holds one row at a time beyond a batch."""
+    the block's first row (document, size, room) as its pivot. Holds one row at a time
+    beyond a batch."""
     held, last, pivot = None, None, None
+    names = ["doc", "n", "room"]
     for batch in batches:
         table = pa.Table.from_batches([b for b in (held, batch) if b is not None])
-        s, doc, n = (table.column(c).to_numpy() for c in ("s", "doc", "n"))
+        s = table.column("s").to_numpy()
         if not len(s):
             continue
+        own = [table.column(c).to_numpy() for c in names]
         first = np.concatenate([[last is None or s[0] != last], s[1:] != s[:-1]])
         lead = np.maximum.accumulate(np.where(first, np.arange(len(s)), -1))
         inside = lead >= 0
-        pivots = np.where(inside, doc[lead], pivot[0] if pivot else 0)
-        sizes = np.where(inside, n[lead], pivot[1] if pivot else 0)
+        pivots = [np.where(inside, c[lead], p) for c, p in zip(own, pivot or (0, 0, 0))]
         keep = ~first
         keep[:-1] |= ~first[1:]
         keep[-1] = not first[-1]
         held = pa.RecordBatch.from_arrays([c.combine_chunks().slice(len(s) - 1, 1) for c in table.columns], table.column_names) if first[-1] else None
         if held is None:
-            last, pivot = s[-1], (pivots[-1], sizes[-1])
+            last, pivot = s[-1], [p[-1] for p in pivots]
         elif len(s) > 1:
-            last, pivot = s[-2], (pivots[-2], sizes[-2])
-        out = table.append_column("pivot", pa.array(pivots, pa.int64())).append_column("pivot_n", pa.array(sizes, pa.int32()))
-        yield from out.filter(pa.array(keep)).to_batches()
+            last, pivot = s[-2], [p[-2] for p in pivots]
+        for name, p, kind in zip(names, pivots, (pa.int64(), pa.int32(), pa.int32())):
+            table = table.append_column(f"pivot_{name}", pa.array(p, kind))
+        yield from table.filter(pa.array(keep)).to_batches()
 
 
 def _cell_pairs(batches):
@@ -288,14 +292,23 @@ def _cell_pairs(batches):
         yield from pairs(held)
 
 
+BLOCK = "s long, doc long, n int, room int, pivot_doc long, pivot_n int, pivot_room int"
+
+
 def _with_pivots(rows: DataFrame, *order) -> DataFrame:
-    """rows (s, doc, n, room): the rows of blocks of two or more, with pivot, pivot_n."""
-    first = order[0] if order else F.lit(0)
-    rows = rows.select("s", "doc", "n", "room", first.alias("o"))
-    return (
-        rows.repartition("s").sortWithinPartitions("s", "o", "n", "doc").drop("o")
-        .mapInArrow(lean(_pivots), "s long, doc long, n int, room int, pivot long, pivot_n int")
-    )
+    """rows (s, doc, n, room): the rows of blocks of two or more, with their pivots."""
+    rows = rows.select("s", "doc", "n", "room", *(c.alias(f"o{i}") for i, c in enumerate(order)))
+    by = [f"o{i}" for i in range(len(order))]
+    return rows.repartition("s").sortWithinPartitions("s", *by, "n", "doc").select("s", "doc", "n", "room").mapInArrow(lean(_pivots), BLOCK)
+
+
+def _cells_of_pivots(blocks: DataFrame) -> DataFrame:
+    """(a, b): for each document b the pivot a that it shares most blocks with, of those
+    that sizes and places in their orders let it link with (ties: the smaller)."""
+    fits = F.expr("doc <> pivot_doc and 4 * least(n, pivot_n) >= 3 * greatest(n, pivot_n) and 7 * least(room, pivot_room) >= 3 * (n + pivot_n)")
+    shared = blocks.where(fits).groupBy("pivot_doc", "doc").count()
+    best = shared.groupBy("doc").agg(F.max_by("pivot_doc", F.struct("count", -F.col("pivot_doc"))).alias("a"))
+    return best.select("a", F.col("doc").alias("b"))
 
 
 def _screened(pairs: DataFrame, points: DataFrame) -> DataFrame:
@@ -393,33 +406,36 @@ def jaccard_components(docs: DataFrame, width: int = 5, levels: int = 4, few: in
     blocks = cut(_with_pivots(index), "blocks")
     codes = cut(points("codes").join(blocks.select(F.col("doc").alias("doc_id")).distinct(), "doc_id", "left_semi"), "codes")
 
-    comps = None
-    before, rest = None, None
+    comps = before = None
     for level in range(levels):
-        # distances to the pivots; sizes alone show d > 0.5 for the others
-        near = 2 * F.least("n", "pivot_n") >= F.greatest("n", "pivot_n")
-        pairs = blocks.where((F.col("doc") != F.col("pivot")) & near).select(F.col("pivot").alias("a"), F.col("doc").alias("b")).distinct()
-        known = cut(_screened(pairs, codes), "bounds")
+        known = cut(_screened(_cells_of_pivots(blocks), codes), "bounds")
         exact = cut(_measured(known.where("maybe").select("a", "b"), rows, width), "distances")
         comps = _joined(comps, exact, scratch)
-        to_pivot = known.join(exact, ["a", "b"], "left").select(F.col("a").alias("pivot"), F.col("b").alias("doc"), "low", "d", "linked")
-        placed = blocks.where("doc <> pivot").join(to_pivot, ["pivot", "doc"], "left")
-        placed = placed.withColumn("linked", F.coalesce("linked", F.lit(False))).withColumn("far", F.coalesce("d", "low", F.lit(0.5)))
-        placed = cut(placed.join(comps.toDF("doc", "component"), "doc", "left").select("s", "doc", "n", "room", "d", "linked", "far", F.coalesce("component", "doc").alias("comp")), "placed")
-        scratch.drop(known, exact, blocks)
+        label = comps.toDF("doc", "component")
+        labelled = cut(blocks.join(label, "doc", "left").withColumn("comp", F.coalesce("component", "doc")).drop("component"), "labelled")
+        mixed_blocks = labelled.groupBy("s").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("s")
+        live = cut(labelled.join(mixed_blocks, "s"), "live")
+        scratch.drop(blocks, labelled)
+        to_pivot = known.join(exact, ["a", "b"], "left").select(F.col("a").alias("pivot_doc"), F.col("b").alias("doc"), "low", "d")
+        placed = live.join(label.toDF("pivot_doc", "region"), "pivot_doc", "left").join(to_pivot, ["pivot_doc", "doc"], "left")
+        placed = placed.withColumn("linked", F.col("comp") == F.coalesce("region", "pivot_doc"))
+        placed = placed.withColumn("d", F.when(F.col("doc") == F.col("pivot_doc"), 0.0).otherwise(F.col("d")))
+        far = F.coalesce("d", "low", F.expr("1 - least(n, pivot_n) / greatest(n, pivot_n)"))
+        placed = cut(placed.select("s", "doc", "n", "room", "d", "linked", "comp", far.alias("far")), "placed")
         edge = placed.where("not linked").groupBy("s").agg(F.min("far").alias("nearest"))
-        outside = placed.join(edge, "s").where(f"not linked or d >= nearest - {RADIUS} - 1e-9")
+        outside = placed.join(edge, "s").where(f"not linked or d is null or d >= nearest - {RADIUS} - 1e-9")
         outside = cut(outside.select("s", "doc", "n", "room", "d", "linked", "comp"), "outside")
-        scratch.drop(placed)
         shape = outside.groupBy("s").agg(F.count("*").alias("c"), F.min("comp").alias("low"), F.max("comp").alias("high")).where("c > 1 and low <> high")
         rest = cut(outside.join(shape.select("s", "c"), "s"), "rest")
-        scratch.drop(outside)
+        scratch.drop(known, exact, live, placed, outside)
         left, work = rest.agg(F.count("*"), F.sum(F.col("c").cast("double"))).first()
         if not left or level == levels - 1 or work <= few * left or (before is not None and left > 0.5 * before):
             break
         before = left
         blocks = cut(_with_pivots(rest, F.col("linked").cast("int")), "blocks")
-        scratch.drop(rest)
+        fewer = cut(codes.join(rest.select(F.col("doc").alias("doc_id")).distinct(), "doc_id", "left_semi"), "codes")
+        scratch.drop(rest, codes)
+        codes = fewer
 
     if left:
         cells = _cells(rest).repartition("s", "main", "i", "j").sortWithinPartitions("s", "main", "i", "j")

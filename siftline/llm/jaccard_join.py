@@ -6,7 +6,8 @@ where no pivot separates anything. The space is therefore first cut into blocks:
 link must share a shingle among their first n - ceil(3n/4) + 1 in a common order (rarest
 first, by a count sketch over all documents that is sized by the input). In each block:
 
-1. The smallest set is the block's pivot. A document belongs to the Voronoi cell of one of
+1. The block's pivot is its most central member: the one that meets most others over all of
+   its blocks. A document belongs to the Voronoi cell of one of
    its blocks' pivots, the one that it shares most blocks with, and its distance to that
    pivot is found (first bounded by what short codes of their prefixes share, then exactly
    where a link is possible). Links join components. A block whose members are of one
@@ -244,7 +245,7 @@ def _pivots(batches):
         keep = ~first
         keep[:-1] |= ~first[1:]
         keep[-1] = not first[-1]
-        held = pa.RecordBatch.from_arrays([c.combine_chunks().slice(len(s) - 1, 1) for c in table.columns], table.column_names) if first[-1] else None
+        held = table.slice(len(s) - 1).combine_chunks().to_batches()[0] if first[-1] else None
         if held is None:
             last, pivot = s[-1], [p[-1] for p in pivots]
         elif len(s) > 1:
@@ -292,14 +293,22 @@ def _cell_pairs(batches):
         yield from pairs(held)
 
 
-BLOCK = "s long, doc long, n int, room int, pivot_doc long, pivot_n int, pivot_room int"
+ROW = "s long, doc long, n int, room int, met long"
 
 
 def _with_pivots(rows: DataFrame, *order) -> DataFrame:
-    """rows (s, doc, n, room): the rows of blocks of two or more, with their pivots."""
-    rows = rows.select("s", "doc", "n", "room", *(c.alias(f"o{i}") for i, c in enumerate(order)))
+    """Rows as ROW has them: those of blocks of two or more, with their pivots."""
+    rows = rows.select("s", "doc", "n", "room", "met", *(c.alias(f"o{i}") for i, c in enumerate(order)))
     by = [f"o{i}" for i in range(len(order))]
-    return rows.repartition("s").sortWithinPartitions("s", *by, "n", "doc").select("s", "doc", "n", "room").mapInArrow(lean(_pivots), BLOCK)
+    rows = rows.repartition("s").sortWithinPartitions("s", *by, F.desc("met"), "n", "doc").select("s", "doc", "n", "room", "met")
+    return rows.mapInArrow(lean(_pivots), ROW + ", pivot_doc long, pivot_n int, pivot_room int")
+
+
+def _met(blocks: DataFrame) -> DataFrame:
+    """``blocks`` with ``met``: how many others a document meets over all of its blocks."""
+    sizes = blocks.groupBy("s").agg((F.count("*") - 1).alias("others"))
+    met = blocks.join(sizes, "s").groupBy("doc").agg(F.sum("others").alias("met"))
+    return blocks.drop("met").join(met, "doc")
 
 
 def _cells_of_pivots(blocks: DataFrame) -> DataFrame:
@@ -403,7 +412,9 @@ def jaccard_components(docs: DataFrame, width: int = 5, levels: int = 4, few: in
     index = points("prefix").select("doc_id", "n", F.posexplode("prefix")).select(
         F.col("col").alias("s"), F.col("doc_id").alias("doc"), F.col("n").cast("int"), (F.col("n") - F.col("pos")).cast("int").alias("room")
     )
-    blocks = cut(_with_pivots(index), "blocks")
+    shared = cut(_with_pivots(index.withColumn("met", F.lit(0).cast("long"))).select("s", "doc", "n", "room"), "shared")
+    blocks = cut(_with_pivots(_met(shared)), "blocks")
+    scratch.drop(shared)
     codes = cut(points("codes").join(blocks.select(F.col("doc").alias("doc_id")).distinct(), "doc_id", "left_semi"), "codes")
 
     comps = before = None
@@ -421,10 +432,10 @@ def jaccard_components(docs: DataFrame, width: int = 5, levels: int = 4, few: in
         placed = placed.withColumn("linked", F.col("comp") == F.coalesce("region", "pivot_doc"))
         placed = placed.withColumn("d", F.when(F.col("doc") == F.col("pivot_doc"), 0.0).otherwise(F.col("d")))
         far = F.coalesce("d", "low", F.expr("1 - least(n, pivot_n) / greatest(n, pivot_n)"))
-        placed = cut(placed.select("s", "doc", "n", "room", "d", "linked", "comp", far.alias("far")), "placed")
+        placed = cut(placed.select("s", "doc", "n", "room", "met", "d", "linked", "comp", far.alias("far")), "placed")
         edge = placed.where("not linked").groupBy("s").agg(F.min("far").alias("nearest"))
         outside = placed.join(edge, "s").where(f"not linked or d is null or d >= nearest - {RADIUS} - 1e-9")
-        outside = cut(outside.select("s", "doc", "n", "room", "d", "linked", "comp"), "outside")
+        outside = cut(outside.select("s", "doc", "n", "room", "met", "d", "linked", "comp"), "outside")
         shape = outside.groupBy("s").agg(F.count("*").alias("c"), F.min("comp").alias("low"), F.max("comp").alias("high")).where("c > 1 and low <> high")
         rest = cut(outside.join(shape.select("s", "c"), "s"), "rest")
         scratch.drop(known, exact, live, placed, outside)

@@ -126,7 +126,9 @@ def _segments(kind: str, path: str, end_id: int, size: int):
 def write_ids(docs: DataFrame, target: str, path: str, kind: str = "word", end_id: int = 1, segment: int = SEGMENT, partitions: int | None = None) -> str:
     """Write the ids of every document, in ascending doc_id order (null first), under
     ``target``. Null texts count as empty: the end id alone. Rows that repeat a doc_id
-    follow each other in order of their text."""
+    follow each other in order of their text. A text of any length is encoded whole and
+    stays in one segment. An empty table gives files without rows. Columns other than
+    doc_id and text are not read."""
     spark = docs.sparkSession
     ship(spark)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
@@ -141,18 +143,28 @@ def write_ids(docs: DataFrame, target: str, path: str, kind: str = "word", end_i
     return target
 
 
-def segments(spark: SparkSession, target: str) -> DataFrame:
-    """The files' segments with ``first``, the number of ids before each. Sums per task
+#: (part, segment, first) rows up to which a join may broadcast them: 24 MB
+SENT = 1_000_000
+
+
+def firsts(files: DataFrame) -> DataFrame:
+    """(part, segment, n_ids, first): the number of ids before each segment. Sums per task
     are added up first, so the one ordered window has a row per written file."""
-    files = spark.read.schema(FILE).parquet(target)
     sizes = files.select("part", "segment", "n_ids")
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     parts = sizes.groupBy("part").agg(F.sum("n_ids").alias("total"))
     parts = parts.select("part", F.coalesce(F.sum("total").over(before), F.lit(0)).alias("part_first"))
     within = Window.partitionBy("part").orderBy("segment").rowsBetween(Window.unboundedPreceding, -1)
-    firsts = sizes.withColumn("within", F.coalesce(F.sum("n_ids").over(within), F.lit(0))).join(parts, "part")
-    firsts = firsts.select("part", "segment", (F.col("within") + F.col("part_first")).alias("first"))
-    return files.join(firsts, ["part", "segment"])
+    rows = sizes.withColumn("within", F.coalesce(F.sum("n_ids").over(within), F.lit(0))).join(parts, "part")
+    return rows.select("part", "segment", "n_ids", (F.col("within") + F.col("part_first")).alias("first"))
+
+
+def segments(spark: SparkSession, target: str) -> DataFrame:
+    """The files' segments with ``first``; encoded ids don't move while there are few enough
+    segments to send their numbers to all tasks."""
+    files = spark.read.schema(FILE).parquet(target)
+    places = firsts(files).select("part", "segment", "first")
+    return files.join(F.broadcast(places) if files.count() <= SENT else places, ["part", "segment"])
 
 
 def _documents(batches):
@@ -191,11 +203,18 @@ def _tokens(batches):
 
 
 def tokens_at(spark: SparkSession, target: str, positions: list[int]) -> DataFrame:
-    """(position, id) for a few positions in the whole corpus: only the segments that
-    hold them are read, and each id is looked up without decoding its neighbours."""
+    """(position, id) for a few positions in the whole corpus. Their segments, at most one
+    for each, are found from the segments' sizes alone; only those are read, by filters on
+    part and segment that prune row groups, and each id is looked up without decoding its
+    neighbours. Positions outside the corpus give no rows."""
     ship(spark)
+    files = spark.read.schema(FILE).parquet(target)
     wanted = F.filter(F.lit(list(positions)).cast("array<long>"), lambda p: (p >= F.col("first")) & (p < F.col("first") + F.col("n_ids")))
-    return segments(spark, target).withColumn("positions", wanted).where(F.size("positions") > 0).select("first", "positions", "levels").mapInArrow(_tokens, "position long, id long")
+    found = firsts(files).withColumn("positions", wanted).where(F.size("positions") > 0).select("part", "segment", "first", "positions")
+    found = spark.createDataFrame(found.collect(), found.schema)
+    places = found.select("part", "segment").collect()
+    here = F.col("part").isin([p for p, _ in places]) & F.col("segment").isin([s for _, s in places])
+    return files.where(here).join(F.broadcast(found), ["part", "segment"]).select("first", "positions", "levels").mapInArrow(_tokens, "position long, id long")
 
 
 def fresh_target(spark: SparkSession) -> str:

@@ -92,6 +92,14 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def fresh_name(df: DataFrame, name: str) -> str:
+    """``name``, or one like it that is no column of ``df``."""
+    have = {c.lower() for c in df.columns}
+    while name.lower() in have:
+        name += "_"
+    return name
+
+
 class Scratch:
     """The cuts of one run in a folder of their own. drop() deletes cuts that nothing reads
     any more: no frame that is still to be computed may come from them."""
@@ -176,10 +184,11 @@ def without(docs: DataFrame, removed: DataFrame) -> DataFrame:
     log2_bits = bits_for(removed.count())
     words = bloom_words(removed, F.col("doc_id"), log2_bits)
     maybe = bloom_hit(words, F.col("doc_id"), log2_bits)
-    out = removed.select([F.col(c).alias(f"_removed_{c}") for c in removed.columns]).distinct()
-    same = docs["doc_id"].eqNullSafe(out["_removed_doc_id"])
-    if "text_sha256" in removed.columns:
-        same &= F.sha2(F.coalesce(docs["text"], F.lit("")), 256) == out["_removed_text_sha256"]
+    own = {c: fresh_name(docs, f"_removed_{c}") for c in removed.columns}
+    out = removed.select([F.col(c).alias(n) for c, n in own.items()]).distinct()
+    same = F.col("doc_id").eqNullSafe(F.col(own["doc_id"]))
+    if "text_sha256" in own:
+        same &= F.sha2(F.coalesce("text", F.lit("")), 256) == F.col(own["text_sha256"])
     return docs.where(~maybe).unionByName(docs.where(maybe).join(out, same, "left_anti"))
 
 

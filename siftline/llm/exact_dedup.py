@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siftline.llm.common import bloom_hit, bloom_words, cut, ship
+from siftline.llm.common import bits_for, bloom_hit, bloom_words, cut, lean, ship
 
 CHUNK = 1 << 15
 HUGE = 1 << 20
@@ -115,7 +115,7 @@ def fingerprints(docs: DataFrame, moduli=MODULI, huge: int = HUGE) -> DataFrame:
     """(doc_id, n_bytes, fp1, fp2, text_sha256) of every row; null text counts as empty."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     small = rows.where(F.octet_length("text") <= huge).mapInArrow(
-        _whole(moduli, "doc_id"), "doc_id long, n_bytes long, fp1 long, fp2 long, text_sha256 string"
+        lean(_whole(moduli, "doc_id")), "doc_id long, n_bytes long, fp1 long, fp2 long, text_sha256 string"
     )
     # a huge text keeps its row's identity in (doc_id, hash of the text), through the shuffle of its pieces
     pieces = rows.where(F.octet_length("text") > huge).mapInArrow(
@@ -178,7 +178,7 @@ def _with_text(moduli):
     return run
 
 
-def exact_dedup(docs: DataFrame, moduli=MODULI, huge: int = HUGE, log2_bits: int = 20) -> DataFrame:
+def exact_dedup(docs: DataFrame, moduli=MODULI, huge: int = HUGE) -> DataFrame:
     """One row per row of ``docs``: doc_id, keep_id, group_size, kept, text_sha256.
 
     Texts are equal when identical, code point by code point; the row with the largest
@@ -192,12 +192,13 @@ def exact_dedup(docs: DataFrame, moduli=MODULI, huge: int = HUGE, log2_bits: int
     best = F.max(F.struct("doc_id", "row")).alias("best")
     groups = cut(prints.groupBy(*KEY).agg(best, F.count("*").alias("group_size")).where("group_size > 1"), "groups")
     key = F.struct(*KEY)
+    log2_bits = bits_for(groups.count())
     words = bloom_words(groups, key, log2_bits)
     again = (
         docs.select(F.coalesce("text", F.lit("")).alias("text"))
-        .mapInArrow(_with_text(moduli), "n_bytes long, fp1 long, fp2 long, text string")
+        .mapInArrow(lean(_with_text(moduli)), "n_bytes long, fp1 long, fp2 long, text string")
         .where(bloom_hit(words, key, log2_bits))
-        .mapInArrow(_chunks(moduli, CHUNK * 8), "n_bytes long, fp1 long, fp2 long, chunk_no long, chunk binary")
+        .mapInArrow(lean(_chunks(moduli, CHUNK * 8)), "n_bytes long, fp1 long, fp2 long, chunk_no long, chunk binary")
     )
     clash = cut(
         again.groupBy(*KEY, "chunk_no")

@@ -417,7 +417,12 @@ def jaccard_components(docs: DataFrame, width: int = 5, levels: int = 4, few: in
     scratch.drop(shared)
     codes = cut(points("codes").join(blocks.select(F.col("doc").alias("doc_id")).distinct(), "doc_id", "left_semi"), "codes")
 
-    comps = before = None
+    # a doc_id of different texts ties the points that stand for them
+    sets = F.struct(*SAME)
+    many = named.groupBy("doc_id").agg(F.min(sets).alias("low"), F.max(sets).alias("high")).where("low <> high").select("doc_id")
+    ties = cut(named.select("doc_id", *SAME).join(many, "doc_id", "left_semi").join(same, SAME).where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b")), "ties")
+
+    comps, before = ties, None
     for level in range(levels):
         known = cut(_screened(_cells_of_pivots(blocks), codes), "bounds")
         exact = cut(_measured(known.where("maybe").select("a", "b"), rows, width), "distances")
@@ -461,10 +466,8 @@ def jaccard_components(docs: DataFrame, width: int = 5, levels: int = 4, few: in
     return found.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "rep").alias("component_id"))
 
 
-def _joined(comps: DataFrame | None, exact: DataFrame, scratch: Scratch) -> DataFrame:
+def _joined(comps: DataFrame, exact: DataFrame, scratch: Scratch) -> DataFrame:
     """The components after the links of ``exact`` (a, b, linked) joined them."""
-    links = exact.where("linked").select("a", "b")
-    after = components(links if comps is None else links.union(comps), scratch)
-    if comps is not None:
-        scratch.drop(comps)
+    after = components(exact.where("linked").select("a", "b").union(comps), scratch)
+    scratch.drop(comps)
     return after

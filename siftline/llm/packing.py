@@ -4,7 +4,8 @@ Texts become ids where they are read; only piece lengths and checksums move. Pie
 dealt by a hash of their document into groups of about GROUP pieces, and each group is
 packed online: a fixed number of open bins, their free space in a bitset, each piece into
 the bin that it fills best; when no more bins may open, the fullest one closes. A group
-comes in slices of about SLICE pieces, and a slice brings its longest pieces first.
+comes in slices of at most about SLICE pieces, by a hash, and a slice brings its longest
+pieces first; a group of one slice is the same rule.
 """
 
 from __future__ import annotations
@@ -79,6 +80,8 @@ class BestFit:
         if rest:
             if self.open == self.most:
                 fullest = (self.free & -self.free).bit_length() - 1
+                if rest <= fullest:  # the bin just filled is the fullest
+                    return at, self.capacity - free
                 self.bins[fullest].pop()
                 if not self.bins[fullest]:
                     self.free &= ~(1 << fullest)
@@ -123,8 +126,8 @@ def pack(
     ids_crc32, sequence_id, offset.
 
     A null or empty text is the end id alone. Rows that repeat a doc_id are packed each
-    on their own. A null doc_id stays null. An empty table gives no rows. Columns other
-    than doc_id and text are not read.
+    on their own. A null doc_id stays null. A text of any length is encoded whole, in one
+    task. An empty table gives no rows. Columns other than doc_id and text are not read.
     """
     ship(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
@@ -132,7 +135,8 @@ def pack(
     pieces_count = pieces.count()
     n_groups = max(1, -(-pieces_count // group))
     place = F.pmod(F.xxhash64("doc_id", "start"), F.lit(n_groups)).alias("group")
-    turn = F.pmod(F.xxhash64("start", "doc_id"), F.lit(max(1, min(pieces_count, group) // SLICE)))
+    slices = max(1, -(-pieces_count // (n_groups * SLICE)))
+    turn = F.pmod(F.xxhash64("start", "doc_id"), F.lit(slices))
     return (
         pieces.select(place, "*")
         .repartition(n_groups, "group")

@@ -14,6 +14,8 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from siftline.llm.common import fresh_name
+
 #: fixed values: the base kinds, in their order. Each pattern has two groups; a match whose
 #: second group is shorter than the number is dropped.
 KINDS = {
@@ -137,12 +139,14 @@ def shown(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
-def with_spans(docs: DataFrame, documents: int = 2000, least: float = 0.5) -> DataFrame:
-    """``docs`` with ``base`` and ``found``, the base spans and all spans in order."""
+def with_spans(docs: DataFrame, documents: int = 2000, least: float = 0.5, base: str = "base", found: str = "found") -> DataFrame:
+    """``docs`` with two more columns, the base spans and all spans in order; other columns
+    of these names are replaced, so give names that ``docs`` doesn't have."""
     model = Markov(labelled_tokens(docs.select("doc_id", "text"), documents))
-    rows = docs.withColumn("_text", unmarked(F.col("text")))
-    rows = rows.withColumn("base", base_spans(F.col("_text")))
-    return rows.withColumn("found", F.array_sort(F.concat("base", model.spans(F.col("_text"), F.col("base"), least)))).drop("_text")
+    text = fresh_name(docs, "_text")
+    rows = docs.withColumn(text, unmarked(F.col("text")))
+    rows = rows.withColumn(base, base_spans(F.col(text)))
+    return rows.withColumn(found, F.array_sort(F.concat(base, model.spans(F.col(text), F.col(base), least)))).drop(text)
 
 
 def scan_secrets(docs: DataFrame, documents: int = 2000, least: float = 0.5) -> DataFrame:

@@ -3,7 +3,8 @@
 Where no token can cross a white-space mark, a text's ids are its chunks' ids in order.
 Each distinct chunk is segmented once by the public library and kept in a table that
 lives as long as the Python worker; a text is then a join of its chunks by position.
-The table is emptied when it passes LIMIT entries (about 250 MB) or LIMIT_CHARS characters.
+The table is emptied before it would pass LIMIT entries (about 250 MB) or LIMIT_CHARS
+characters: a chunk is segmented once for each time that the table is filled.
 """
 
 from __future__ import annotations
@@ -15,6 +16,8 @@ from array import array
 
 import numpy as np
 
+from siftline.llm.common import kept
+
 LIMIT = 1_200_000
 LIMIT_CHARS = 24_000_000
 #: before a single space between two characters that are no white space
@@ -37,13 +40,16 @@ class ChunkTable(dict):
         self.segment, self.limit, self.chars = segment, limit, 0
 
     def fill(self, chunk_lists) -> None:
-        if len(self) > self.limit or self.chars > LIMIT_CHARS:
+        """The table holds at most its limits and one group's chunks, which need be there
+        together."""
+        need = list(set().union(*chunk_lists).difference(self))
+        chars = sum(map(len, need))
+        if self and need and (len(self) + len(need) > self.limit or self.chars + chars > LIMIT_CHARS):
             self.clear()
-            self.chars = 0
-        need = set().union(*chunk_lists)
-        need = list(need.difference(self))
+            need, self.chars = list(set().union(*chunk_lists)), 0
+            chars = sum(map(len, need))
         if need:
-            self.chars += sum(map(len, need))
+            self.chars += chars
             self.update(self.segment(need))
 
 
@@ -183,14 +189,14 @@ class PieceIds:
 
 
 KINDS = {"spaced": SpacedIds, "word": WordIds, "piece": PieceIds}
-_loaded: dict = {}
 
 
 def encoder(kind: str, path: str):
-    """One encoder per Python worker and file."""
-    if (kind, path) not in _loaded:
-        _loaded[kind, path] = KINDS[kind](path)
-    return _loaded[kind, path]
+    """One encoder per Python worker and file, until another operator runs there."""
+    cache = kept(("tokens", kind, path))
+    if "encoder" not in cache:
+        cache["encoder"] = KINDS[kind](path)
+    return cache["encoder"]
 
 
 def groups(texts: list[str], most: int = 2_000_000):

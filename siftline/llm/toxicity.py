@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from siftline.llm.common import ship
+from siftline.llm.common import lean, ship
 
 SAMPLE = 20_000
 LEXICON = 3_000
@@ -105,7 +105,7 @@ class Scorer:
 
     def weight(self, word: str) -> float:
         best = max((self.stems.get(word[:k], 0.0) for k in STEMS if k <= len(word)), default=0.0)
-        hit = self.automaton.match(word) if len(word) < 40 else None
+        hit = self.automaton.match(word)
         return max(best, hit[0] if hit else 0.0)
 
     def features(self, text: str | None) -> tuple[float, float, float]:
@@ -196,20 +196,20 @@ class ToxicityModel:
         sizes = dict(learn.groupBy("toxic").count().collect())
         n_clean, n_toxic = sizes.get(False, 0), sizes.get(True, 0)
         least = max(3, n_toxic // 80)
-        counts = learn.select("text", "toxic").mapInArrow(_entry_counts, "entry string, clean long, toxic long")
+        counts = learn.select("text", "toxic").mapInArrow(lean(_entry_counts), "entry string, clean long, toxic long")
         counts = counts.groupBy("entry").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
         odds = (F.col("toxic") + 0.5) / (n_toxic + 1) / ((F.col("clean") + 0.5) / (n_clean + 1))
         top = counts.where((F.col("toxic") >= least) & (odds >= 20)).orderBy(F.desc("toxic"), "entry").limit(lexicon)
         self.words, self.stems = chosen(top.collect(), n_clean, n_toxic)
         model = (self.words, self.stems)
-        seen = fit.select("text", "toxic").mapInArrow(_fit_rows(*model), "a double, b double, c double, toxic boolean").toPandas()
+        seen = fit.select("text", "toxic").mapInArrow(lean(_fit_rows(*model)), "a double, b double, c double, toxic boolean").toPandas()
         self.coefficients = logistic(seen[["a", "b", "c"]].to_numpy(float), seen["toxic"].to_numpy(float))
 
-    def scored(self, docs: DataFrame) -> DataFrame:
-        """``docs`` with ``score`` and ``predicted`` (columns of these names are replaced)."""
-        kept = docs.drop("score", "predicted")
-        schema = T.StructType([*kept.schema.fields, T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())])
-        return kept.mapInArrow(_scored(self.words, self.stems, self.coefficients), schema)
+    def scored(self, docs: DataFrame, score: str = "score", predicted: str = "predicted") -> DataFrame:
+        """``docs`` with two more columns of these names (own ones of the names are replaced)."""
+        kept = docs.drop(score, predicted)
+        schema = T.StructType([*kept.schema.fields, T.StructField(score, T.DoubleType()), T.StructField(predicted, T.IntegerType())])
+        return kept.mapInArrow(lean(_scored(self.words, self.stems, self.coefficients, [score, predicted])), schema)
 
 
 def _fit_rows(words, stems):
@@ -222,14 +222,14 @@ def _fit_rows(words, stems):
     return run
 
 
-def _scored(words, stems, coefficients):
+def _scored(words, stems, coefficients, names):
     def run(batches):
         scorer = Scorer(words, stems)
         for batch in batches:
             x = np.array([scorer.features(t) for t in batch.column(batch.schema.get_field_index("text")).to_pylist()]).reshape(-1, 3)
             score = probability(x, coefficients)
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns, pa.array(score), pa.array((score >= THRESHOLD).astype(np.int32))], [*batch.schema.names, "score", "predicted"]
+                [*batch.columns, pa.array(score), pa.array((score >= THRESHOLD).astype(np.int32))], [*batch.schema.names, *names]
             )
 
     return run

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 IPV4 = r"^(25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])(\.(25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])){3}$"
@@ -37,9 +37,9 @@ def ipv4_number(value: Column) -> Column:
 
 
 def cidr_bounds(cidr: Column) -> tuple[Column, Column]:
-    """First and last address of a network; a bare address is its own network."""
+    """First and last address of a network; null for a bare address."""
     address = ipv4_number(F.split_part(cidr, F.lit("/"), F.lit(1)))
-    bits = F.when(cidr.contains("/"), F.split_part(cidr, F.lit("/"), F.lit(2)).try_cast("int")).otherwise(32)
+    bits = F.when(cidr.contains("/"), F.split_part(cidr, F.lit("/"), F.lit(2)).try_cast("int"))
     size = F.when(bits.between(0, 32), F.pow(F.lit(2.0), 32 - bits).cast("long"))
     low = address - F.pmod(address, size)
     return low, low + size - 1
@@ -111,6 +111,13 @@ def wilson_lower_bound(wins: Column, samples: Column, z: float = 1.96) -> Column
     return F.when(samples > 0, F.greatest(F.lit(0.0), F.least(F.lit(1.0), bound))).otherwise(0.0)
 
 
+def small(df: DataFrame, most: int = 100_000) -> DataFrame:
+    """``df`` as a local table that joins broadcast, where it has at most ``most`` rows:
+    what reads it neither shuffles nor computes it again. A larger one stays as it is."""
+    rows = df.limit(most + 1).toArrow()
+    return F.broadcast(df.sparkSession.createDataFrame(rows, df.schema)) if rows.num_rows <= most else df
+
+
 def byte_size(n: Column) -> Column:
     """A size for people: B, KB, MB or GB."""
     out = F.concat(F.format_number(n / 1024**3, 1), F.lit(" GB"))

@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from siftline.functions.net import cidr_bounds, ipv4_number, is_public, region_parts
+from siftline.functions.net import cidr_bounds, ipv4_number, is_public, region_parts, small
 
 WIDE = 64
-#: rules are kept in order, and the built-in ones come last
-DEFAULT_CIDRS = [("172.18.0.0/17", "172.18"), ("172.28.128.0/19", "172.28"), ("2.0.0.0/8", "GovNet")]
+ADDRESSES = 500_000
+#: fixed values: the built-in rules, which come last; each is named by its network
+DEFAULT_CIDRS = ["172.18.0.0/17", "172.28.128.0/19", "2.0.0.0/8"]
 
 
 def device_key(devices: DataFrame) -> Column:
@@ -18,9 +19,9 @@ def device_key(devices: DataFrame) -> Column:
 
 def backfill_devices(events: DataFrame, devices: DataFrame) -> DataFrame:
     """device_id of the enabled device at an event's source; of two devices there the
-    later id wins. Spark broadcasts the devices while they are small."""
+    later id wins. Up to 100,000 devices are broadcast; more are joined by a shuffle."""
     known = devices.where("enabled").select(device_key(devices).alias("source_addr"), F.col("id").alias("_id"))
-    known = known.groupBy("source_addr").agg(F.max("_id").alias("_id"))
+    known = small(known.groupBy("source_addr").agg(F.max("_id").alias("_id")))
     return events.join(known, "source_addr", "left").withColumn("device_id", F.coalesce("_id", "device_id")).drop("_id").select(events.columns)
 
 
@@ -87,9 +88,11 @@ def address_regions(ips: DataFrame, rules: DataFrame, ranges: DataFrame) -> Data
 
 
 def with_regions(events: DataFrame, rules: DataFrame, ranges: DataFrame) -> DataFrame:
-    """Adds src_region, dst_region and geo_region. Only distinct addresses are looked up."""
+    """Adds src_region, dst_region and geo_region. Only distinct addresses are looked up;
+    up to ADDRESSES of them, and of those with a region, are broadcast, so that events are
+    read twice and never shuffled."""
     ips = events.select(F.explode(F.array("src_ip", "dst_ip")).alias("ip")).where("ip is not null").distinct()
-    regions = address_regions(ips, rules, ranges)
+    regions = small(address_regions(small(ips, ADDRESSES), rules, ranges), ADDRESSES)
     out = events.join(regions.toDF("src_ip", "src_region"), "src_ip", "left").join(regions.toDF("dst_ip", "dst_region"), "dst_ip", "left")
     return out.withColumn("geo_region", F.coalesce("src_region", "dst_region"))
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siftline.functions.net import wilson_lower_bound
@@ -101,25 +101,36 @@ def status_counts(state: DataFrame) -> DataFrame:
     return state.agg(n("active").alias("active"), n("shadow", "shadow_recovering").alias("shadow"), n("disabled").alias("disabled"))
 
 
-def failure_fingerprints(parsed: DataFrame) -> DataFrame:
-    """Failures by a hash of scope, error class, missing fields, keys and line shape."""
+def fingerprint() -> Column:
+    """Of a failed event: a hash of scope, error class, missing fields, keys and the shape
+    of the whole line, in which numbers and words are one character each."""
     keys, _, _, _ = pairs(F.col("raw"))
     missing = F.concat_ws(",", *(F.when(F.col(c).isNull(), F.lit(c)) for c in ("src_ip", "dst_ip", "protocol", "action")))
-    shape = F.regexp_replace(F.regexp_replace(F.substring("raw", 1, 256), "[0-9]+", "9"), "[A-Za-z]+", "a")
-    rows = parsed.where("parse_status = 'failed'")
+    shape = F.regexp_replace(F.regexp_replace("raw", "[0-9]+", "9"), "[A-Za-z]+", "a")
     error = F.regexp_extract("parse_error", r"^([^\[]*)", 1)
-    digest = F.sha2(F.concat_ws("\x1f", "scope_key", error, missing, F.array_join(F.array_sort(keys), ","), shape), 256)
-    return rows.groupBy("scope_key", digest.alias("fingerprint")).agg(
-        F.first("parse_error").alias("reason"), F.min("raw").alias("sample"), F.count("*").alias("n"), F.max("ingest_time").alias("last_seen")
+    return F.sha2(F.concat_ws("\x1f", "scope_key", error, missing, F.array_join(F.array_sort(keys), ","), shape), 256)
+
+
+def failure_fingerprints(parsed: DataFrame) -> DataFrame:
+    """Failures by fingerprint, with the least reason and line of each."""
+    rows = parsed.where("parse_status = 'failed'")
+    return rows.groupBy("scope_key", fingerprint().alias("fingerprint")).agg(
+        F.min("parse_error").alias("reason"), F.min("raw").alias("sample"), F.count("*").alias("n"), F.max("ingest_time").alias("last_seen")
     )
 
 
-def floods(parsed: DataFrame, most: int = 200, hold: str = "300 seconds") -> DataFrame:
-    """Scope-minutes with more distinct failures or raw sources than ``most``, and until
-    when the guard holds."""
+def flood_counts(parsed: DataFrame, most: int = 200, hold: str = "300 seconds") -> DataFrame:
+    """Distinct fingerprints of failures and raw sources of each scope-minute, whether
+    either is more than ``most``, and until when the guard holds then."""
     rows = parsed.where("parse_status = 'failed'").groupBy("scope_key", F.date_trunc("minute", "ingest_time").alias("minute"))
-    rows = rows.agg(F.approx_count_distinct("raw").alias("shapes"), F.approx_count_distinct("source_addr").alias("sources"))
-    return rows.where((F.col("shapes") > most) | (F.col("sources") > most)).withColumn("until", F.col("minute") + F.expr(f"interval {hold}"))
+    rows = rows.agg(F.count_distinct(fingerprint()).alias("shapes"), F.count_distinct("source_addr").alias("sources"))
+    held = (F.col("shapes") > most) | (F.col("sources") > most)
+    return rows.withColumn("held", held).withColumn("until", F.when(held, F.col("minute") + F.expr(f"interval {hold}")))
+
+
+def floods(parsed: DataFrame, most: int = 200, hold: str = "300 seconds") -> DataFrame:
+    """The scope-minutes that trip the guard."""
+    return flood_counts(parsed, most, hold).where("held")
 
 
 def source_aliases(events: DataFrame) -> DataFrame:

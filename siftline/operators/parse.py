@@ -15,9 +15,11 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from siftline.functions.net import is_ip, protocol_name, u16
+from siftline.functions.net import is_ip, protocol_name, small, u16
 
+#: white space as Unicode has it where these lines do: the patterns' class, and its characters
 WS = r"\s\x{3000}\x{a0}"
+BLANKS = " \t\n\x0b\f\r\u3000\u00a0"
 #: fixed values: keys of the vendor's NAT lines, and parser ids and names
 VENDOR_KEYS = {
     "src_ip": ["src", "源IP"],
@@ -28,6 +30,7 @@ VENDOR_KEYS = {
     "action": ["action", "NAT类型"],
     "severity": ["severity"],
 }
+#: fixed value: the vendor's pairs
 VENDOR = rf"(?:[{WS}]|^|,)(src|dst|sport|dport|proto|action|severity|源IP|目的IP|源端口|目的端口|协议|NAT类型)(?:=|:)[{WS}]*([^{WS},]+)"
 VENDOR_ID, VENDOR_NAME = "parser:sangfor_nat_v1", "SangforAdapter"
 GENERIC_ID, GENERIC_NAME = "parser:generic_kv_v1", "GenericKv"
@@ -53,11 +56,14 @@ GENERIC_WORDS = [
     ("action", "动作|nat.*类型|类型.*nat"),
     ("severity", "级别|严重|等级"),
 ]
+#: fixed value: a pair of any line, its value quoted or not
 GENERIC = rf"""(?:^|[{WS},;|])([a-zA-Z0-9_一-龥]+)[{WS}]*[:=][{WS}]*("(?:[^"\\]|\\.)*"|'(?:[^'\\]|\\.)*'|[^{WS},;|]+)"""
+#: fixed value: what counts as an address in a text (leading zeros do)
 IP_IN_TEXT = r"\b((?:(?:25[0-5]|2[0-4][0-9]|[01]?[0-9][0-9]?)\.){3}(?:25[0-5]|2[0-4][0-9]|[01]?[0-9][0-9]?))\b"
 #: fixed values: hints with the words' mis-decoded forms
 PROTOCOL_HINT = rf"(?i)(?:proto|protocol|鍗忚|协议)[{WS}]*[:=][{WS}]*([^{WS},;|]+)"
 ACTION_HINT = rf"(?i)(?:action|act|鍔ㄤ綔|动作|nat绫诲瀷|nat类型)[{WS}]*[:=][{WS}]*([^{WS},;|]+)"
+#: fixed values: the time at the head of a line, and the bounded tokeniser's pairs
 SYSLOG_TIME = r"^(?:<[0-9]+>)?([A-Za-z]{3}\s+[0-9]{1,2}\s+[0-9]{2}:[0-9]{2}:[0-9]{2})"
 PAIR = r"(?:^|[\s,;|])([^\s,;|=:]+)[=:]\s*([^\s,;|]+)"
 #: fixed texts
@@ -85,6 +91,14 @@ def first_value(keys: Column, values: Column, name: str) -> Column:
     return F.get(values, (F.array_position(keys, name) - 1).cast("int"))
 
 
+def pair_of(match: Column) -> Column:
+    """(key, value) of a match of ``[separator] key [:=] value``: keys hold neither sign, so
+    a pattern need be matched only once."""
+    head = F.substring_index(F.translate(match, ":", "="), "=", 1)
+    value = F.substr(match, F.length(head) + 2)
+    return F.struct(F.btrim(head, F.lit(BLANKS + ",;|")).alias("key"), F.ltrim(value, F.lit(BLANKS)).alias("value"))
+
+
 def settled(df: DataFrame, **columns: Column) -> DataFrame:
     """``df`` with columns that are computed once: an explode of one struct keeps Catalyst
     from copying their expressions into every use above it, filters included."""
@@ -134,9 +148,6 @@ def is_vendor(raw: Column) -> Column:
 
 def vendor_columns(lines: DataFrame) -> DataFrame:
     """Adds ``vendor_result``. Ports: the first valid value wins."""
-    keys = F.regexp_extract_all("raw", F.lit(VENDOR), F.lit(1))
-    values = F.regexp_extract_all("raw", F.lit(VENDOR), F.lit(2))
-
     def name(key, value):
         out = F.lit(None).cast("string")
         for target, names in VENDOR_KEYS.items():
@@ -144,8 +155,8 @@ def vendor_columns(lines: DataFrame) -> DataFrame:
             out = F.when(fits & u16(value).isNotNull() if target.endswith("port") else fits, target).otherwise(out)
         return out
 
-    lines = settled(lines, _vk=keys, _vv=values)
-    lines = settled(lines, _vk=F.zip_with("_vk", "_vv", name), _vv=F.col("_vv"))
+    lines = settled(lines, _m=F.transform(F.regexp_extract_all("raw", F.lit(VENDOR), F.lit(0)), pair_of))
+    lines = settled(lines, _vk=F.transform("_m", lambda m: name(m["key"], m["value"])), _vv=F.col("_m.value")).drop("_m")
     get = lambda n: first_value(F.col("_vk"), F.col("_vv"), n)
     values = {n: get(n) for n in VENDOR_KEYS}
     values |= {"src_port": u16(get("src_port")), "dst_port": u16(get("dst_port")), "protocol": protocol_name(get("protocol"))}
@@ -164,9 +175,8 @@ def generic_name(key: Column) -> Column:
 
 def generic_columns(lines: DataFrame) -> DataFrame:
     """Adds ``generic_result`` and ``generic_matches``. The first value of a field wins."""
-    found = {n: F.regexp_extract_all("raw", F.lit(GENERIC), F.lit(i)) for n, i in (("_gk", 1), ("_gv", 2))}
-    lines = settled(lines, **found).withColumn("generic_matches", F.size("_gk") > 0)
-    lines = settled(lines, _gk=F.transform("_gk", generic_name))
+    lines = settled(lines, _m=F.transform(F.regexp_extract_all("raw", F.lit(GENERIC), F.lit(0)), pair_of)).withColumn("generic_matches", F.size("_m") > 0)
+    lines = settled(lines, _gk=F.transform("_m", lambda m: generic_name(m["key"])), _gv=F.col("_m.value")).drop("_m")
     get = lambda n: unquote(first_value(F.col("_gk"), F.col("_gv"), n))
     lines = settled(lines, _src=get("src_ip"), _dst=get("dst_ip"))
     missing = F.col("_src").isNull() | F.col("_dst").isNull()
@@ -292,7 +302,7 @@ def parse_events(
     lines = lines.withColumn("scope_key", source_scope(F.col("source_addr"))[0])
     route = F.array(*map(F.lit, ids))
     if pins is not None:
-        lines = lines.join(pins.select("scope_key", F.col("parser_ids").alias("_pinned")), "scope_key", "left")
+        lines = lines.join(small(pins.select("scope_key", F.col("parser_ids").alias("_pinned"))), "scope_key", "left")
         route = F.array_distinct(F.concat(F.coalesce("_pinned", F.array().cast("array<string>")), route))
     lines = lines.withColumn("_route", route)
 
@@ -338,7 +348,7 @@ def apply_learned(events: DataFrame, rules: DataFrame) -> DataFrame:
     in order of rule_id, and classify again. rules: rule_id, scope_key, raw_key,
     canonical_field, value_type. Adds applied_rules and failed_rules (at most 8 each)."""
     packed = rules.groupBy("scope_key").agg(F.array_sort(F.collect_list(F.struct("rule_id", "raw_key", "canonical_field", "value_type"))).alias("_rules"))
-    rows = events.drop("applied_rules", "failed_rules").join(packed, "scope_key", "left")
+    rows = events.drop("applied_rules", "failed_rules").join(small(packed), "scope_key", "left")
     keys, values, _, _ = pairs(F.col("raw"))
     rows = settled(rows, _k=keys, _v=values)
     open_ = (F.col("parse_status") != "parsed") & F.col("_rules").isNotNull()

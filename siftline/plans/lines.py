@@ -52,6 +52,10 @@ def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """line_id, ingest_time, source_addr, shape, raw."""
     spark.conf.set("spark.sql.session.timeZone", "UTC")
     table = spark.read.parquet(f"{sf_dir}/events.parquet")
+    # parsing is all the work there is: a table of few files goes to all cores
+    cores = spark.sparkContext.defaultParallelism
+    if table.rdd.getNumPartitions() < cores:
+        table = table.repartition(cores)
     table.createOrReplaceTempView("_siftline_events")
     sql = TEMPLATE.format(S="STRING", syslog="date_format(ts, 'MMM dd HH:mm:ss')", iso="date_format(ts, 'yyyy-MM-dd')", events="_siftline_events")
     found = spark.sql(sql)

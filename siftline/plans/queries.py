@@ -296,11 +296,13 @@ def dedup_insert(spark, sf_dir):
 
 
 _CIDRS = [(1, "2.55.0.0/16", "Office", True, False), (2, "172.18.4.0/22", "Lab", True, False), (3, "8.8.8.8", "Resolver", False, False), (4, "211.93.49.0/25", "Gone", True, True)] + [
-    (100 + i, c, n, True, False) for i, (c, n) in enumerate(joins.DEFAULT_CIDRS)
+    (100 + i, c, c, True, False) for i, c in enumerate(joins.DEFAULT_CIDRS)
 ]
+#: the same rules as the SQL has them, written out
+_CIDRS_SQL = [(1, "2.55.0.0/16", "Office"), (2, "172.18.4.0/22", "Lab"), (100, "172.18.0.0/17", "172.18.0.0/17"), (101, "172.28.128.0/19", "172.28.128.0/19"), (102, "2.0.0.0/8", "2.0.0.0/8")]
 _RANGES = [("8.8.8.0", "8.8.8.255", "美国|0|0|谷歌|US"), ("211.93.0.0", "211.93.255.255", "中国|江苏|南京|联通|CN"), ("2.0.0.0", "2.255.255.255", "法国|0|0|橙|FR")]
 _CIDR_SQL = ", cidrs(rule_order, name, low, high) AS (VALUES " + ", ".join(
-    f"({o}, '{n}', {net.number_of(c.split('/')[0])}, {net.number_of(c.split('/')[0]) + 2 ** (32 - int((c + '/32').split('/')[1])) - 1})" for o, c, n, e, d in _CIDRS if e and not d
+    f"({o}, '{n}', {net.number_of(c.split('/')[0])}, {net.number_of(c.split('/')[0]) + 2 ** (32 - int(c.split('/')[1])) - 1})" for o, c, n in _CIDRS_SQL
 ) + ")"
 _RANGE_SQL = ", ranges(ip_from, ip_to, region, province, city, isp) AS (VALUES " + ", ".join(
     f"({net.number_of(a)}, {net.number_of(b)}, {x})" for (a, b, _), x in zip(_RANGES, ["'美国|谷歌', NULL, NULL, '谷歌'", "'中国|江苏|南京|联通', '江苏', '南京', '联通'", "'法国|橙', NULL, NULL, '橙'"])
@@ -451,13 +453,23 @@ def source_aliases(spark, sf_dir):
     return shown(learn.source_aliases(events(spark, sf_dir)))
 
 
-@register()
+_SHAPED = f""", failed AS (SELECT *, sha256(concat_ws(chr(31), scope_key, regexp_extract(parse_error, '^([^\\[]*)', 1),
+    concat_ws(',', CASE WHEN src_ip IS NULL THEN 'src_ip' END, CASE WHEN dst_ip IS NULL THEN 'dst_ip' END, CASE WHEN protocol IS NULL THEN 'protocol' END, CASE WHEN action IS NULL THEN 'action' END),
+    array_to_string(list_sort(regexp_extract_all(raw, '{_PAIR}', 1)[1:64]), ','),
+    regexp_replace(regexp_replace(raw, '[0-9]+', '9', 'g'), '[A-Za-z]+', 'a', 'g'))) AS fingerprint FROM ev WHERE parse_status = 'failed')"""
+
+
+@register(_SHAPED + f" SELECT scope_key, fingerprint, min(parse_error) AS reason, min(raw) AS sample, count(*) AS n, {TIME('max(ingest_time)')} AS last_seen FROM failed GROUP BY 1, 2")
 def failure_fingerprints(spark, sf_dir):
     return shown(learn.failure_fingerprints(events(spark, sf_dir)))
 
 
-@register()
+@register(
+    _SHAPED + f""" SELECT scope_key, {TIME('minute')} AS minute, shapes, sources, shapes > 200 OR sources > 200 AS held,
+      CASE WHEN shapes > 200 OR sources > 200 THEN {TIME("minute + INTERVAL 300 SECOND")} END AS until
+    FROM (SELECT scope_key, date_trunc('minute', ingest_time) AS minute, count(DISTINCT fingerprint) AS shapes, count(DISTINCT source_addr) AS sources FROM failed GROUP BY 1, 2)"""
+)
 def flood_guard(spark, sf_dir):
-    return shown(learn.floods(events(spark, sf_dir), most=1))
+    return shown(learn.flood_counts(events(spark, sf_dir)))
 
 

@@ -46,7 +46,8 @@ def append_events(batch: DataFrame, target: str) -> int:
 
 
 def replace_events(events: DataFrame, target: str, expected: int) -> None:
-    """Replace a table after checking that no row is lost; readers see old or new whole."""
+    """Replace a table after checking that no row is lost. If the new one can't be put in
+    place, the old one is put back; it is deleted last."""
     spark = events.sparkSession
     staged = f"{target}.staged-{uuid.uuid4().hex}"
     events.withColumn("ingest_day", F.to_date("ingest_time")).write.partitionBy("ingest_day").option("compression", "zstd").parquet(staged)
@@ -57,10 +58,15 @@ def replace_events(events: DataFrame, target: str, expected: int) -> None:
     old, new = jvm.Path(target), jvm.Path(staged)
     fs = new.getFileSystem(spark._jsc.hadoopConfiguration())
     aside = jvm.Path(f"{target}.old-{uuid.uuid4().hex}")
-    if fs.exists(old):
-        fs.rename(old, aside)
-    fs.rename(new, old)
-    fs.delete(aside, True)
+    had = fs.exists(old)
+    if had and not fs.rename(old, aside):
+        raise OSError(f"{target} can't be moved; it stays as it is")
+    if not fs.rename(new, old):
+        if had and not fs.rename(aside, old):
+            raise OSError(f"the old table is at {aside.toString()}, the new one at {staged}: neither can be moved to {target}")
+        raise OSError(f"{staged} can't be moved to {target}; the old table stays")
+    if had:
+        fs.delete(aside, True)
 
 
 def write_events(events: DataFrame, target: str, mode: str = "append") -> None:

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from datetime import timedelta
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftline.operators.metrics import minute_rollup
+from siftline.operators.metrics import filled, minute_rollup
 from siftline.operators.parse import parse_events
 from siftline.schema import RAW
 from siftline.sources.sinks import append_events, exists
@@ -27,8 +29,12 @@ def event_stream(lines: DataFrame, delay: str = "10 minutes", **parse) -> DataFr
 def minute_stream(events: DataFrame) -> DataFrame:
     """Rollup rows of a stream, by minute; use update mode."""
     window = F.window("ingest_time", "1 minute")
-    rows = events.groupBy(window.alias("w"), "source_addr", "parse_status").agg(F.count("*").alias("total_count"), F.sum(F.length("raw")).alias("raw_bytes"))
-    return rows.select(F.col("w.start").alias("bucket_minute"), "source_addr", "parse_status", "total_count", "raw_bytes")
+    keys = [
+        filled("source_addr", "unknown").alias("source_addr"), filled("protocol", "UNKNOWN", F.upper).alias("protocol"),
+        filled("action", "unknown", F.lower).alias("action"), F.col("parse_status"),
+    ]
+    rows = events.groupBy(window.alias("w"), *keys).agg(F.count("*").alias("total_count"), F.coalesce(F.sum(F.length("raw")), F.lit(0)).cast("long").alias("raw_bytes"))
+    return rows.select(F.col("w.start").alias("bucket_minute"), "source_addr", "protocol", "action", "parse_status", "total_count", "raw_bytes")
 
 
 def store_batch(hot: str, history: str | None = None, rollup: str | None = None):
@@ -62,29 +68,34 @@ def start(events: DataFrame, hot: str, checkpoint: str, trigger: dict | None = N
     return writer.trigger(**(trigger or {"availableNow": True})).start()
 
 
-def sync(source: DataFrame, target: str) -> int:
-    """Copy what a query copy lacks: rows past its mark (ingest_time, event_id), and late
-    ones, which the id check finds."""
+def sync(source: DataFrame, target: str, late: timedelta | None = timedelta(days=2)) -> int:
+    """Copy what a query copy lacks: rows that are at most ``late`` older than its newest,
+    and not there by id. None compares all rows, however late."""
     spark = source.sparkSession
     rows = source
     if exists(spark, target):
         mark = spark.read.parquet(target).agg(F.max("ingest_time")).first()[0]
-        if mark is not None:
-            rows = source.where(F.col("ingest_time") >= F.lit(mark))
+        if mark is not None and late is not None:
+            rows = source.where(F.col("ingest_time") >= F.lit(mark - late))
     return append_events(rows, target)
 
 
 def learn_batch(root: str, **options):
     """A foreachBatch function: each batch of events adds to the versioned rule state and
-    activates what is ready."""
+    activates what is ready. The state names the last batch in it, so one that comes again
+    counts once."""
     from siftline.operators import learn
     from siftline.schema import RULE
     from siftline.sources import sinks
 
     def run(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        old = sinks.state(spark, root, "rules") if sinks.latest_version(spark, root) else spark.createDataFrame([], RULE)
-        sinks.publish_state({"rules": learn.activated(learn.observed(old, learn.candidates(batch)), **options)}, root)
+        known = sinks.latest_version(spark, root)
+        if known and sinks.state(spark, root, "batches").agg(F.max("number")).first()[0] >= number:
+            return
+        old = sinks.state(spark, root, "rules") if known else spark.createDataFrame([], RULE)
+        rules = learn.activated(learn.observed(old, learn.candidates(batch)), **options)
+        sinks.publish_state({"rules": rules, "batches": spark.createDataFrame([(number,)], "number long")}, root)
 
     return run
 

@@ -25,6 +25,12 @@ def backfill_devices(events: DataFrame, devices: DataFrame) -> DataFrame:
     return events.join(known, "source_addr", "left").withColumn("device_id", F.coalesce("_id", "device_id")).drop("_id").select(events.columns)
 
 
+def device_names(events: DataFrame, devices: DataFrame) -> DataFrame:
+    """Adds device_label: the name of the event's device, else its id, else its source."""
+    names = small(devices.groupBy(F.col("id").alias("device_id")).agg(F.max("name").alias("_name")))
+    return events.join(names, "device_id", "left").withColumn("device_label", F.coalesce("_name", "device_id", "source_addr")).drop("_name")
+
+
 def device_rollup(devices: DataFrame, sources: DataFrame) -> DataFrame:
     """Managed devices with the metrics of their sources (host, or host and port); sources
     without a device stay as observed ones, devices without a source with zeros."""

@@ -96,6 +96,12 @@ def parser_profiles(parsed: DataFrame) -> DataFrame:
     )
 
 
+def state_listing(state: DataFrame, status: str | None = None) -> DataFrame:
+    """Rules in the listings' fixed order: scope, field, raw key; of one status if given."""
+    rows = state if status is None else state.where(F.col("status") == status)
+    return rows.orderBy("scope_key", "canonical_field", "raw_key", "rule_id")
+
+
 def status_counts(state: DataFrame) -> DataFrame:
     n = lambda *s: F.coalesce(F.sum(F.col("status").isin(*s).cast("long")), F.lit(0))
     return state.agg(n("active").alias("active"), n("shadow", "shadow_recovering").alias("shadow"), n("disabled").alias("disabled"))

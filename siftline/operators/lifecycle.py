@@ -24,6 +24,13 @@ def compacted(events: DataFrame, newest_rows: int | None = None, any_rows: int |
     return pruned_raw(events) if drop_raw else events
 
 
+def living(rows: DataFrame, as_of: datetime, days: int = HISTORY_DAYS, column: str = "ingest_time") -> DataFrame:
+    """What a history table keeps: events of the last HISTORY_DAYS days, or rollups (by
+    ``column``) of the last ROLLUP_DAYS; whole days, so that a table partitioned by day
+    drops partitions."""
+    return rows.where(F.to_date(column) >= F.lit((as_of - timedelta(days=days)).date()))
+
+
 def report(events: DataFrame, hot_limit: int, output: str) -> DataFrame:
     return events.agg(F.count("*").alias("rows")).select(F.lit(hot_limit).alias("hot_limit"), "rows", F.lit(output).alias("output"))
 

@@ -129,3 +129,29 @@ def index_by_day(index: DataFrame, day=None, limit: int = 10_000) -> DataFrame:
     rows = latest_index(index)
     rows = rows if day is None else rows.where(F.col("day") == F.lit(day))
     return rows.orderBy(F.desc("day"), "archive_path").limit(clamp(limit, 10_000))
+
+
+def archive_days(index: DataFrame, files: DataFrame) -> DataFrame:
+    """Distinct days, newest first, that the archive index (day) or the names of archive
+    files (path) tell; unknown ones are left out."""
+    named = files.select(F.explode(days_in(F.regexp_extract("path", "([^/]*)$", 1)).cast("array<string>")).alias("day"))
+    return index.select("day").union(named).where("day is not null and day <> 'unknown'").distinct().orderBy(F.desc("day"))
+
+
+def storage_stats(files: DataFrame, hot: DataFrame, history: DataFrame) -> DataFrame:
+    """(tier, files, bytes, rows): archives by category, and the rows of stored tables."""
+    kept = files.groupBy(F.col("category").alias("tier")).agg(F.count("*").alias("files"), F.sum("bytes").cast("long").alias("bytes"))
+    none = F.lit(None).cast("long")
+    counted = [t.agg(F.count("*").alias("rows")).select(F.lit(n).alias("tier"), none.alias("files"), none.alias("bytes"), "rows") for n, t in (("hot", hot), ("history", history))]
+    return kept.withColumn("rows", none).unionByName(counted[0]).unionByName(counted[1])
+
+
+def batch_counters(batch: DataFrame, stored: DataFrame) -> DataFrame:
+    """One row for a batch: received, stored (ids that were not there), replayed (the
+    rest), and parsed among the stored ones."""
+    fresh = batch.groupBy("event_id").agg(F.count("*").alias("n"), F.max((F.col("parse_status") == "parsed").cast("long")).alias("ok"))
+    fresh = fresh.join(stored.select("event_id", F.lit(1).alias("there")).dropDuplicates(["event_id"]), "event_id", "left")
+    new = F.col("there").isNull()
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("long")
+    row = fresh.agg(total("n").alias("received"), total(new.cast("long")).alias("stored"), total(F.when(new, F.col("ok"))).alias("parsed"))
+    return row.select("received", "stored", (F.col("received") - F.col("stored")).alias("replayed"), "parsed")

@@ -214,3 +214,20 @@ def upgraded(events: DataFrame) -> DataFrame:
         events = events.withColumn("source_addr", F.lit("unknown://legacy"))
     events = events.withColumn("source_addr", F.coalesce("source_addr", F.lit("unknown://legacy")))
     return events if "device_id" in events.columns else events.withColumn("device_id", F.lit(None).cast("string"))
+
+
+def within(events: DataFrame, start, end) -> DataFrame:
+    """Events of a history query: ingest_time from ``start`` to ``end``, both included."""
+    return events.where(F.col("ingest_time").between(F.lit(start), F.lit(end)))
+
+
+def recent_stream(events: DataFrame, limit: int = 40) -> DataFrame:
+    """The newest rows as a stream view shows them: time, status, device, raw."""
+    rows = newest(events, limit)
+    return rows.select("event_id", F.coalesce("event_time", "ingest_time").alias("time"), "parse_status", device_name(F.col("source_addr"), F.col("raw")).alias("device"), "raw")
+
+
+def oldest(events: DataFrame, after=None, limit: int = QUERY_LIMIT) -> DataFrame:
+    """The next rows of a sync, oldest first: later than ``after``, at most ``limit``."""
+    rows = events if after is None else events.where(F.col("ingest_time") > F.lit(after))
+    return rows.orderBy("ingest_time", "event_id").limit(clamp(limit, QUERY_LIMIT))

@@ -473,3 +473,88 @@ def flood_guard(spark, sf_dir):
     return shown(learn.flood_counts(events(spark, sf_dir)))
 
 
+# ---------------------------------------------------------------- views and stores
+
+
+@register(f" SELECT {EVENT} FROM ev WHERE ingest_time >= TIMESTAMP '2024-01-05 06:00:00' AND ingest_time <= TIMESTAMP '2024-01-07 18:30:00'")
+def history_bounds(spark, sf_dir):
+    return shown(search.within(events(spark, sf_dir), datetime(2024, 1, 5, 6), datetime(2024, 1, 7, 18, 30)).select(EVENT_COLUMNS))
+
+
+@register(f" SELECT event_id, {TIME('coalesce(event_time, ingest_time)')} AS time, parse_status, regexp_replace(source_addr, '^[a-z]+://', '') AS device, raw FROM ev{_NEW}40")
+def recent_stream(spark, sf_dir):
+    return shown(search.recent_stream(events(spark, sf_dir)))
+
+
+@register(f" SELECT event_id, {TIME('ingest_time')} AS ingest_time FROM ev WHERE ingest_time > TIMESTAMP '2024-01-12 00:00:00' ORDER BY ev.ingest_time, event_id LIMIT 1500")
+def sync_batch(spark, sf_dir):
+    return shown(search.oldest(events(spark, sf_dir), datetime(2024, 1, 12), 1500).select("event_id", "ingest_time"))
+
+
+@register(_DEVICE_SQL + " SELECT event_id, coalesce(d.id, device_id) AS device_id, coalesce(n.name, d.id, device_id, ev.source_addr) AS device_label FROM ev LEFT JOIN devices d ON d.enabled AND ev.source_addr = lower(d.protocol) || '://' || d.host || ':' || CAST(d.port AS VARCHAR) LEFT JOIN devices n ON n.id = coalesce(d.id, device_id)")
+def device_labels(spark, sf_dir):
+    rows = joins.backfill_devices(events(spark, sf_dir), devices(spark))
+    return joins.device_names(rows, devices(spark)).select("event_id", "device_id", "device_label")
+
+
+def _daily_files(rows: DataFrame) -> DataFrame:
+    """One archive for each day of the events: even days as Parquet, odd days frozen."""
+    even = F.dayofmonth("day") % 2 == 0
+    days = rows.groupBy(F.to_date("ingest_time").alias("day")).agg(F.sum(F.octet_length("raw")).alias("bytes"))
+    digits = F.date_format("day", "yyyyMMdd")
+    path = F.when(even, F.concat(F.lit("/archive/events-"), digits, F.lit(".parquet"))).otherwise(F.concat(F.lit("/archive/raw-"), digits, F.lit(".raw.zst")))
+    return days.select(path.alias("path"), "bytes", F.when(even, "parquet").otherwise("frozen").alias("category"), F.when(even, F.col("day").cast("string")).otherwise("unknown").alias("day"))
+
+
+@register(" SELECT DISTINCT CAST(CAST(ingest_time AS DATE) AS VARCHAR) AS day FROM ev")
+def archive_days(spark, sf_dir):
+    files = _daily_files(events(spark, sf_dir))
+    return metrics.archive_days(files.select("day"), files.where("category = 'frozen'"))
+
+
+@register(
+    """, f AS (SELECT CAST(ingest_time AS DATE) AS day, sum(strlen(raw)) AS bytes FROM ev GROUP BY 1)
+    SELECT CASE WHEN day(day) % 2 = 0 THEN 'parquet' ELSE 'frozen' END AS tier, count(*) AS files, CAST(sum(bytes) AS BIGINT) AS bytes, CAST(NULL AS BIGINT) AS rows FROM f GROUP BY 1
+    UNION ALL SELECT 'hot', NULL, NULL, count(*) FILTER (ingest_time >= TIMESTAMP '2024-01-20 00:00:00') FROM ev
+    UNION ALL SELECT 'history', NULL, NULL, count(*) FROM ev"""
+)
+def storage_stats(spark, sf_dir):
+    rows = events(spark, sf_dir)
+    return metrics.storage_stats(_daily_files(rows), search.within(rows, datetime(2024, 1, 20), datetime(9999, 1, 1)), rows)
+
+
+@register(
+    """, there AS (SELECT *, ingest_time < TIMESTAMP '2024-01-10 00:00:00' AS old FROM ev)
+    SELECT count(*) AS received, count(*) FILTER (NOT old) AS stored, count(*) FILTER (old) AS replayed, count(*) FILTER (NOT old AND parse_status = 'parsed') AS parsed FROM there"""
+)
+def batch_counters(spark, sf_dir):
+    rows = events(spark, sf_dir)
+    return metrics.batch_counters(rows, rows.where(F.col("ingest_time") < F.lit(datetime(2024, 1, 10))))
+
+
+@register(ROLLUP + f" SELECT {TIME('bucket_minute')} AS bucket_minute, source_addr, protocol, action, parse_status, total_count FROM rollup WHERE CAST(bucket_minute AS DATE) >= DATE '2024-02-10' - 30")
+def history_ttl(spark, sf_dir):
+    from siftline.operators.lifecycle import ROLLUP_DAYS, living
+
+    rows = living(rollup(spark, sf_dir), datetime(2024, 2, 10, 12), ROLLUP_DAYS, "bucket_minute")
+    return shown(rows.drop("raw_bytes"))
+
+
+@register(_CAND + " SELECT rule_id, scope_key, raw_key, canonical_field, value_type FROM st")
+def learn_state_listing(spark, sf_dir):
+    return learn.state_listing(_state(spark, sf_dir)).select("rule_id", "scope_key", "raw_key", "canonical_field", "value_type")
+
+
+@register(
+    f""", t AS (SELECT *, CASE WHEN ingest_time >= TIMESTAMP '2024-01-20 00:00:00' THEN 0 WHEN ingest_time >= TIMESTAMP '2024-01-10 00:00:00' THEN 1 ELSE 2 END AS tier_rank,
+      CASE WHEN ingest_time < TIMESTAMP '2024-01-20 00:00:00' AND ingest_time >= TIMESTAMP '2024-01-10 00:00:00' THEN concat('events-', strftime(ingest_time, '%Y%m%d'), '.parquet') END AS archive_path FROM ev)
+    SELECT {EVENT}, CASE tier_rank WHEN 0 THEN 'hot' WHEN 1 THEN 'parquet' ELSE 'frozen' END AS result_source, archive_path FROM t WHERE {_OK}
+    ORDER BY tier_rank, t.archive_path NULLS FIRST, t.ingest_time DESC, t.event_id DESC LIMIT 100000"""
+)
+def search_collect(spark, sf_dir):
+    """All events, in the tier that their day puts them in."""
+    rows = events(spark, sf_dir)
+    hot, cold = datetime(2024, 1, 20), datetime(2024, 1, 10)
+    at = F.col("ingest_time")
+    middle = rows.where((at < F.lit(hot)) & (at >= F.lit(cold))).withColumn("path", F.concat(F.lit("events-"), F.date_format(at, "yyyyMMdd"), F.lit(".parquet")))
+    return shown(search.tiered(Search(limit=search.QUERY_LIMIT), rows.where(at >= F.lit(hot)), middle, rows.where(at < F.lit(cold))))

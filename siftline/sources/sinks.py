@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
 from siftline.operators.joins import new_events
-from siftline.operators.search import EXPORT_LIMIT, clamp, newest, slim
+from siftline.operators.search import EXPORT_LIMIT, clamp, newest, slim, tier_rows
 from siftline.schema import EVENT_COLUMNS
 
 FROZEN_ROWS = 1_000_000
@@ -170,6 +170,12 @@ def export(events: DataFrame, target: str, kind: str = "csv.zst", limit: int = 1
     return n
 
 
+def search_export(search, target: str, hot: DataFrame | None = None, parquet: DataFrame | None = None, frozen: DataFrame | None = None, kind: str = "csv.zst") -> int:
+    """What a search over tiers finds, hot rows first, as an export; the number of rows."""
+    rows = tier_rows(search, hot, parquet, frozen)
+    return export(rows, target, kind, search.limit)
+
+
 def publish_state(tables: dict[str, DataFrame], root: str) -> int:
     """Write a new version of the state tables; its manifest row, with their counts, is
     written last, so readers never see half a version."""

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
-from datetime import date
+from datetime import date, timedelta
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -61,6 +61,16 @@ class Search:
             return None
 
 
+def on_day(column: str, day: date) -> Column:
+    """Bounds of the column itself, which reach the Parquet scan; a cast of it would not."""
+    return (F.col(column) >= F.lit(day)) & (F.col(column) < F.lit(day + timedelta(days=1)))
+
+
+def at_or(bound) -> Column:
+    """``bound`` of event_time, or of ingest_time where there is none."""
+    return bound(F.col("event_time")) | (F.col("event_time").isNull() & bound(F.col("ingest_time")))
+
+
 def predicates(search: Search, raw: bool = True) -> list[Column]:
     """The filters as independent conjuncts, on the columns of events. Without ``raw``
     a keyword matches nothing."""
@@ -70,13 +80,14 @@ def predicates(search: Search, raw: bool = True) -> list[Column]:
     if search.device_id:
         out.append(F.col("device_id") == search.device_id)
     if day := search.the_day():
-        fits = (F.to_date("ingest_time") == F.lit(day)) | (F.to_date("event_time") == F.lit(day))
+        fits = on_day("ingest_time", day) | on_day("event_time", day)
         out.append(fits | F.col("raw").contains(search.day) if raw else fits)
-    when = F.to_date(F.coalesce("event_time", "ingest_time"))
     if search.date_from:
-        out.append(when >= F.lit(date.fromisoformat(search.date_from)))
+        first = F.lit(date.fromisoformat(search.date_from))
+        out.append(at_or(lambda t: t >= first))
     if search.date_to:
-        out.append(when <= F.lit(date.fromisoformat(search.date_to)))
+        after = F.lit(date.fromisoformat(search.date_to) + timedelta(days=1))
+        out.append(at_or(lambda t: t < after))
     for name in ("src_ip", "dst_ip"):
         if getattr(search, name):
             out.append(F.col(name) == getattr(search, name))
@@ -217,7 +228,10 @@ def upgraded(events: DataFrame) -> DataFrame:
 
 
 def within(events: DataFrame, start, end) -> DataFrame:
-    """Events of a history query: ingest_time from ``start`` to ``end``, both included."""
+    """Events of a history query: ingest_time from ``start`` to ``end``, both included. Of a
+    table stored by ingest_day only those days are read."""
+    if "ingest_day" in events.columns:
+        events = events.where(F.col("ingest_day").between(F.lit(start.date()), F.lit(end.date())))
     return events.where(F.col("ingest_time").between(F.lit(start), F.lit(end)))
 
 

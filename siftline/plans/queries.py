@@ -13,6 +13,7 @@ from siftline.operators.search import Search
 from siftline.plans.lines import ARROW, lines
 from siftline.plans.oracle import ENGINE, EVENT, ROLLUP, SUMS, TIME
 from siftline.schema import EVENT_COLUMNS, RULE, SLIM_COLUMNS
+from siftline.sources import tables
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -280,7 +281,7 @@ def device_backfill(spark, sf_dir):
 
 
 @register(
-    ROLLUP + _DEVICE_SQL + f""", top AS ({_TOP.replace('LIMIT 5', 'LIMIT 1000')}), keys AS (SELECT id, name, host AS key FROM devices UNION SELECT id, name, host || ':' || CAST(port AS VARCHAR) FROM devices)
+    ROLLUP + _DEVICE_SQL + f""", top AS ({_TOP.replace('LIMIT 5', '')}), keys AS (SELECT id, name, host AS key FROM devices UNION SELECT id, name, host || ':' || CAST(port AS VARCHAR) FROM devices)
     SELECT coalesce(id, source_addr) AS device, coalesce(name, source_addr) AS name, CASE WHEN id IS NULL THEN 'observed' ELSE 'managed' END AS kind,
       {', '.join(f'CAST(coalesce(sum({c}), 0) AS BIGINT) AS {c}' for c in ('total', 'parsed', 'partial', 'failed', 'raw_bytes'))}, max(last_seen) AS last_seen
     FROM keys FULL JOIN top ON key = regexp_replace(source_addr, '^[a-z]+://', '') GROUP BY 1, 2, 3"""
@@ -352,36 +353,66 @@ def pending_public_ips(spark, sf_dir):
 # ---------------------------------------------------------------- tiers
 
 
+#: events from the first day on are hot; those before the last are frozen, others in Parquet
+_HOT, _COLD = datetime(2024, 1, 20), datetime(2024, 1, 10)
+_TIERS_SQL = """, t AS (SELECT *, CASE WHEN ingest_time >= TIMESTAMP '2024-01-20 00:00:00' THEN 0 WHEN ingest_time >= TIMESTAMP '2024-01-10 00:00:00' THEN 1 ELSE 2 END AS tier_rank,
+      CASE WHEN ingest_time < TIMESTAMP '2024-01-20 00:00:00' AND ingest_time >= TIMESTAMP '2024-01-10 00:00:00' THEN concat('events-', strftime(ingest_time, '%Y%m%d'), '.parquet') END AS archive_path FROM ev)"""
+_TIERED_SQL = f" SELECT {EVENT}, CASE tier_rank WHEN 0 THEN 'hot' WHEN 1 THEN 'parquet' ELSE 'frozen' END AS result_source, archive_path FROM t WHERE {_OK}"
+_TIER_ORDER = " ORDER BY tier_rank, t.archive_path NULLS FIRST, t.ingest_time DESC, t.event_id DESC LIMIT "
+
+
 def _tiers(spark, sf_dir):
-    rows = events(spark, sf_dir)
-    part = lambda k: rows.where(f"line_id % 4 = {k}").select(EVENT_COLUMNS)
-    cold = part(1).withColumn("path", F.concat(F.lit("events-"), F.date_format("ingest_time", "yyyyMMdd"), F.lit(".parquet")))
-    return rows, part, cold
+    """All events, each in the tier that its ingest day puts it in."""
+    rows, at = events(spark, sf_dir), F.col("ingest_time")
+    path = F.concat(F.lit("events-"), F.date_format(at, "yyyyMMdd"), F.lit(".parquet"))
+    return rows.where(at >= F.lit(_HOT)), rows.where((at < F.lit(_HOT)) & (at >= F.lit(_COLD))).withColumn("path", path), rows.where(at < F.lit(_COLD))
 
 
-@register(
-    f""", t AS (SELECT 0 AS tier_rank, 'hot' AS result_source, CAST(NULL AS VARCHAR) AS archive_path, * FROM ev WHERE line_id % 4 = 0
-      UNION ALL SELECT 1, 'parquet', concat('events-', strftime(ingest_time, '%Y%m%d'), '.parquet'), * FROM ev WHERE line_id % 4 = 1
-      UNION ALL SELECT 2, 'frozen', NULL, * FROM ev WHERE line_id % 4 = 2)
-    SELECT {EVENT}, result_source, archive_path FROM t WHERE {_OK} AND source_addr LIKE '%10.0.0.%' ORDER BY tier_rank, t.archive_path NULLS FIRST, t.ingest_time DESC, t.event_id DESC LIMIT 3000"""
-)
+@register(_TIERS_SQL + _TIERED_SQL + " AND source_addr LIKE '%10.0.0.%'" + _TIER_ORDER + "3000")
 def tier_search(spark, sf_dir):
-    _, part, cold = _tiers(spark, sf_dir)
-    return shown(search.tiered(Search(device="10.0.0.", limit=3000), part(0), cold, part(2)))
+    return shown(search.tiered(Search(device="10.0.0.", limit=3000), *_tiers(spark, sf_dir)))
 
 
-@register(" SELECT source_addr, src_ip, dst_ip, CAST('' AS VARCHAR) AS raw, parse_status, count(*) AS n FROM ev WHERE line_id % 4 = 1 AND parse_status <> 'failed' GROUP BY ALL")
+@register(" SELECT source_addr, src_ip, dst_ip, CAST('' AS VARCHAR) AS raw, parse_status, count(*) AS n, count(*) AS ids FROM ev WHERE parse_status <> 'failed' GROUP BY ALL")
 def tier_search_schema_adapt(spark, sf_dir):
-    _, part, _ = _tiers(spark, sf_dir)
-    rows = search.adapted(search.slim(part(1)), F.lit("events.parquet"))
-    return search.matching(rows, Search()).groupBy("source_addr", "src_ip", "dst_ip", "raw", "parse_status").agg(F.count("*").alias("n"))
+    """Every event in the slim layout, searched: each row gets an id of its own."""
+    rows = search.adapted(search.slim(events(spark, sf_dir)), F.lit("events.parquet"))
+    keys = ["source_addr", "src_ip", "dst_ip", "raw", "parse_status"]
+    return search.matching(rows, Search()).groupBy(*keys).agg(F.count("*").alias("n"), F.count_distinct("event_id").alias("ids"))
 
 
-@register(f""", t AS (SELECT * FROM ev WHERE line_id % 4 = 0 UNION ALL SELECT * FROM ev WHERE line_id % 8 IN (0, 1)) SELECT event_id, count(DISTINCT event_id) AS n FROM t WHERE {_OK} GROUP BY 1""")
+@register(
+    f""", t AS (SELECT 0 AS tier_rank, * FROM ev WHERE ingest_time >= TIMESTAMP '2024-01-10 00:00:00' UNION ALL SELECT 1, * FROM ev WHERE ingest_time < TIMESTAMP '2024-01-20 00:00:00'),
+    f AS (SELECT event_id, tier_rank, min(tier_rank) OVER (PARTITION BY event_id) AS lowest FROM t WHERE {_OK})
+    SELECT event_id, tier_rank, count(*) AS n FROM f WHERE tier_rank = lowest GROUP BY 1, 2"""
+)
 def tier_search_dedup(spark, sf_dir):
-    rows, part, _ = _tiers(spark, sf_dir)
-    cold = rows.where("line_id % 8 in (0, 1)").select(EVENT_COLUMNS)
-    return search.tier_rows(Search(), part(0), cold, dedup=True).groupBy("event_id").agg(F.count("*").alias("n"))
+    """Tiers that share the days between their bounds: what is in both comes from the hot one."""
+    rows, at = events(spark, sf_dir), F.col("ingest_time")
+    found = search.tier_rows(Search(), rows.where(at >= F.lit(_COLD)), rows.where(at < F.lit(_HOT)), dedup=True)
+    return found.groupBy("event_id", "tier_rank").agg(F.count("*").alias("n"))
+
+
+def _stored(spark, sf_dir):
+    """The events of all lines as a table by day, which later searches read."""
+    path = tables.scratch(spark, "events")
+    tables.store(events(spark, sf_dir), path)
+    return tables.stored(spark, path)
+
+
+@register(f""" SELECT {EVENT} FROM ev WHERE {_OK} AND coalesce(event_time, ingest_time) >= TIMESTAMP '2024-01-12 00:00:00' AND coalesce(event_time, ingest_time) < TIMESTAMP '2024-01-15 00:00:00'
+    AND protocol = 'TCP' AND lower(action) = 'allow'""" + _NEW + "2000")
+def stored_search(spark, sf_dir):
+    """A search of days and fields on a stored table."""
+    what = Search(date_from="2024-01-12", date_to="2024-01-14", protocol="tcp", action="Allow", limit=2000)
+    return shown(search.search_hot(_stored(spark, sf_dir), what).select(EVENT_COLUMNS))
+
+
+@register(f" SELECT event_id, {TIME('ingest_time')} AS ingest_time, source_addr, parse_status FROM ev WHERE ingest_time BETWEEN TIMESTAMP '2024-01-05 12:00:00' AND TIMESTAMP '2024-01-07 06:00:00'")
+def stored_history(spark, sf_dir):
+    """A history query of a stored table, of whose days three are read."""
+    found = search.within(_stored(spark, sf_dir), datetime(2024, 1, 5, 12), datetime(2024, 1, 7, 6))
+    return shown(found.select("event_id", "ingest_time", "source_addr", "parse_status"))
 
 
 # ---------------------------------------------------------------- learning
@@ -426,20 +457,22 @@ def learn_apply(spark, sf_dir):
 
 
 @register(
-    _CAND + """ SELECT concat('rule:', scope_key, ':src:dst_ip') AS rule_id, 'disabled' AS status, 'rollback: active rule value conversion conflict threshold exceeded' AS disabled_reason
-    FROM (SELECT scope_key, count(*) AS n FROM ev WHERE shape = 6 AND source_addr LIKE '%://%' GROUP BY 1) WHERE n >= 50
-    UNION ALL SELECT concat('rule:', scope_key, ':src:dst_ip'), 'active', NULL FROM (SELECT scope_key, count(*) AS n FROM ev WHERE shape = 6 AND source_addr LIKE '%://%' GROUP BY 1) WHERE n < 50"""
+    _CAND + """, wrong AS (SELECT scope_key, count(*) FILTER (shape = 5) AS n FROM ev WHERE source_addr LIKE '%://%' GROUP BY 1)
+    SELECT rule_id, CASE WHEN n >= 20 AND bound >= 0.8 THEN 'active' ELSE 'shadow' END AS status, CAST(NULL AS VARCHAR) AS disabled_reason FROM rated
+    UNION ALL SELECT concat('rule:', scope_key, ':proto:dst_ip'), CASE WHEN n >= 50 THEN 'disabled' ELSE 'active' END,
+      CASE WHEN n >= 50 THEN 'rollback: active rule value conversion conflict threshold exceeded' END FROM wrong"""
 )
 def learn_rollback(spark, sf_dir):
-    """Active rules that no line of a source can satisfy: every attempt is a conflict."""
-    rows = events(spark, sf_dir).where("shape = 6 and source_addr like '%://%'").withColumn("raw", F.lit("src=no-address"))
-    scopes = rows.select("scope_key").distinct()
-    state = scopes.select(
-        F.concat(F.lit("rule:"), "scope_key", F.lit(":src:dst_ip")).alias("rule_id"), "scope_key", F.lit("src").alias("raw_key"), F.lit("dst_ip").alias("canonical_field"),
+    """The learned rules, which hold, and for each source one that takes protocols for
+    addresses: every line that it meets is a conflict."""
+    rows, learned = events(spark, sf_dir), _state(spark, sf_dir)
+    wrong = rows.where("source_addr like '%://%'").select("scope_key").distinct().select(
+        F.concat(F.lit("rule:"), "scope_key", F.lit(":proto:dst_ip")).alias("rule_id"), "scope_key", F.lit("proto").alias("raw_key"), F.lit("dst_ip").alias("canonical_field"),
         F.lit("ip").alias("value_type"), F.lit("active").alias("status"), F.lit(0.9).alias("confidence"), F.lit(0).cast("long").alias("wins"),
         F.lit(0).cast("long").alias("sample_count"), F.lit(None).cast("string").alias("disabled_reason"),
     )
-    counters = learn.attributed(parse.apply_learned(rows, state))
+    state = learned.unionByName(wrong)
+    counters = learn.attributed(parse.apply_learned(rows, learn.active_rules(state)))
     return learn.rolled_back(state, counters).select("rule_id", "status", "disabled_reason")
 
 
@@ -545,16 +578,7 @@ def learn_state_listing(spark, sf_dir):
     return learn.state_listing(_state(spark, sf_dir)).select("rule_id", "scope_key", "raw_key", "canonical_field", "value_type")
 
 
-@register(
-    f""", t AS (SELECT *, CASE WHEN ingest_time >= TIMESTAMP '2024-01-20 00:00:00' THEN 0 WHEN ingest_time >= TIMESTAMP '2024-01-10 00:00:00' THEN 1 ELSE 2 END AS tier_rank,
-      CASE WHEN ingest_time < TIMESTAMP '2024-01-20 00:00:00' AND ingest_time >= TIMESTAMP '2024-01-10 00:00:00' THEN concat('events-', strftime(ingest_time, '%Y%m%d'), '.parquet') END AS archive_path FROM ev)
-    SELECT {EVENT}, CASE tier_rank WHEN 0 THEN 'hot' WHEN 1 THEN 'parquet' ELSE 'frozen' END AS result_source, archive_path FROM t WHERE {_OK}
-    ORDER BY tier_rank, t.archive_path NULLS FIRST, t.ingest_time DESC, t.event_id DESC LIMIT 100000"""
-)
+@register(_TIERS_SQL + _TIERED_SQL + _TIER_ORDER + "100000")
 def search_collect(spark, sf_dir):
     """All events, in the tier that their day puts them in."""
-    rows = events(spark, sf_dir)
-    hot, cold = datetime(2024, 1, 20), datetime(2024, 1, 10)
-    at = F.col("ingest_time")
-    middle = rows.where((at < F.lit(hot)) & (at >= F.lit(cold))).withColumn("path", F.concat(F.lit("events-"), F.date_format(at, "yyyyMMdd"), F.lit(".parquet")))
-    return shown(search.tiered(Search(limit=search.QUERY_LIMIT), rows.where(at >= F.lit(hot)), middle, rows.where(at < F.lit(cold))))
+    return shown(search.tiered(Search(limit=search.QUERY_LIMIT), *_tiers(spark, sf_dir)))

@@ -20,7 +20,8 @@ from pyspark.sql import functions as F
 from siftline.llm.common import bloom_hit, bloom_words, cut
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: the largest level: 2**24 bits are 2 MB in the plan
+#: the largest filter: 2**24 bits are 2 MB for each executor; a level that needs more is
+#: split into several by a hash of the key, so no number of rules is too many
 MOST_BITS = 24
 
 
@@ -32,32 +33,51 @@ def path_of(url: Column) -> Column:
     return F.coalesce(F.regexp_extract(url, "://[^/?#]*([^?#]*)", 1), F.lit(""))
 
 
+class Level:
+    """One level: as many filters of at most MOST_BITS bits as its keys need. A key is in
+    the filter that its hash names; the bit positions come from other hashes."""
+
+    def __init__(self, keys: DataFrame, n: int, rate: float, seed: int):
+        need = max(6, math.ceil(math.log2(max(1.0, 1.44 * n * math.log2(1 / rate)))))
+        self.bits, self.parts = min(need, MOST_BITS), 1 << max(0, need - MOST_BITS)
+        self.hashes, self.seed = max(1, min(16, round(0.69 * (self.parts << self.bits) / n))), seed
+        self.words = [
+            bloom_words(keys.where(self._part(F.col("key")) == i) if self.parts > 1 else keys, F.col("key"), self.bits, self.hashes, seed)
+            for i in range(self.parts)
+        ]
+
+    def _part(self, key: Column) -> Column:
+        return F.pmod(F.xxhash64(F.lit(self.seed * 64 + 63), key), F.lit(self.parts))
+
+    def hit(self, key: Column) -> Column:
+        hits = [bloom_hit(words, key, self.bits, self.hashes, self.seed) for words in self.words]
+        out = hits[-1]
+        for i, hit in enumerate(hits[:-1]):
+            out = F.when(self._part(key) == i, hit).otherwise(out)
+        return out
+
+
 class Cascade:
     """Levels of filters over a key column; contains() is exact on the universe."""
 
     def __init__(self, listed: DataFrame, universe: DataFrame):
         """listed, universe: one column ``key`` of distinct strings; listed is in universe."""
-        self.levels: list[tuple] = []
+        self.levels: list[Level] = []
         n, u = listed.count(), max(universe.count(), 2)
         others = universe.join(listed, "key", "left_anti")
         ins, rate = (listed, others), max(min(0.5, math.sqrt(0.5) * n / u), 1e-9)
         while n:
-            bits = max(6, math.ceil(math.log2(max(1.0, 1.44 * n * math.log2(1 / rate)))))
-            if bits > MOST_BITS:
-                raise ValueError(f"{n} keys need a filter of more than 2**{MOST_BITS} bits")
-            hashes = max(1, min(16, round(0.69 * (1 << bits) / n)))
-            level = len(self.levels)
-            words = bloom_words(ins[0], F.col("key"), bits, hashes, level + 1)
-            self.levels.append((words, bits, hashes, level + 1))
-            wrong = cut(ins[1].where(bloom_hit(words, F.col("key"), bits, hashes, level + 1)), "cascade")
+            level = Level(ins[0], n, rate, len(self.levels) + 1)
+            self.levels.append(level)
+            wrong = cut(ins[1].where(level.hit(F.col("key"))), "cascade")
             ins, rate, n = (wrong, ins[0]), 0.5, wrong.count()
 
     def contains(self, key: Column) -> Column:
         """Odd numbers of passed levels are members."""
         member = F.lit(len(self.levels) % 2 == 1)
-        for k, (words, bits, hashes, seed) in reversed(list(enumerate(self.levels))):
+        for k, level in reversed(list(enumerate(self.levels))):
             # a key that stops at level k (from 0) passed k levels
-            member = F.when(~bloom_hit(words, key, bits, hashes, seed), F.lit(k % 2 == 1)).otherwise(member)
+            member = F.when(~level.hit(key), F.lit(k % 2 == 1)).otherwise(member)
         return member
 
 
@@ -74,7 +94,7 @@ def candidates(host: Column, path: Column, labels: list[int], lengths: list[int]
 def judge_urls(pages: DataFrame, rules: DataFrame, default: str = "allow") -> DataFrame:
     """page_id, host, path, rule, verdict of every row of ``pages``.
 
-    rules: host, path, action (block or allow), at most a few million. A rule fits its
+    rules: host, path, action (block or allow), any number. A rule fits its
     host and all subdomains where the url's path starts with the rule's; the longest rule
     wins, and of the same rule listed both ways block wins. A url of null or without
     ``://`` has an empty host and path. Urls that no rule fits get ``default`` and a null

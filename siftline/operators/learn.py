@@ -76,6 +76,11 @@ def attributed(events: DataFrame) -> DataFrame:
     return ok.union(bad).groupBy("rule_id").agg(F.count("*").alias("total"), n("bad").alias("failed"), n("conflict").alias("conflicts"))
 
 
+def summed(counters: DataFrame) -> DataFrame:
+    """Counters of several batches added up by rule."""
+    return counters.groupBy("rule_id").agg(*[F.sum(c).alias(c) for c in ("total", "failed", "conflicts")])
+
+
 def rolled_back(state: DataFrame, counters: DataFrame) -> DataFrame:
     """Active rules with too many failures or conflicts are disabled, with the reason."""
     rows = state.join(counters, "rule_id", "left")

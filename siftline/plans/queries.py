@@ -12,8 +12,9 @@ from siftline.operators import joins, learn, metrics, parse, search
 from siftline.operators.search import Search
 from siftline.plans.lines import ARROW, lines
 from siftline.plans.oracle import ENGINE, EVENT, ROLLUP, SUMS, TIME
-from siftline.schema import EVENT_COLUMNS, RULE, SLIM_COLUMNS
-from siftline.sources import tables
+from siftline.schema import EVENT_COLUMNS, RAW, RULE, SLIM_COLUMNS
+from siftline.sources import sinks, tables
+from siftline.streaming import stream
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -415,6 +416,22 @@ def stored_history(spark, sf_dir):
     return shown(found.select("event_id", "ingest_time", "source_addr", "parse_status"))
 
 
+@register(
+    f""" SELECT CAST(CAST(ingest_time AS DATE) AS VARCHAR) AS bucket_day, {TIME("date_trunc('hour', ingest_time)")} AS bucket, source_addr, count(*) AS total_count,
+      CAST(sum(strlen(raw)) AS BIGINT) AS raw_bytes, {TIME('max(ingest_time)')} AS last_seen
+    FROM (SELECT DISTINCT event_id, ingest_time, source_addr, raw FROM ev) GROUP BY ALL"""
+)
+def stream_history(spark, sf_dir):
+    """All lines as a stream of files, parsed, stored once and added up on insert; the view
+    by source and hour."""
+    path = tables.scratch(spark, "stream")
+    lines(spark, sf_dir).select("ingest_time", "source_addr", "raw").write.parquet(f"{path}/lines")
+    found = parse.parse_events(spark.readStream.schema(RAW).parquet(f"{path}/lines"), rules=[ARROW])
+    writer = found.writeStream.foreachBatch(stream.history_batch(f"{path}/history", f"{path}/views"))
+    writer.option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return shown(stream.stored_view(spark, f"{path}/views", "source"))
+
+
 # ---------------------------------------------------------------- learning
 
 _CAND = """, cand AS (SELECT concat('rule:', scope_key, ':actName:action') AS rule_id, scope_key, 'actName' AS raw_key, 'action' AS canonical_field, 'action' AS value_type, line_id, event_id
@@ -476,6 +493,17 @@ def learn_rollback(spark, sf_dir):
     return learn.rolled_back(state, counters).select("rule_id", "status", "disabled_reason")
 
 
+@register(_CAND + " SELECT rule_id, n AS total, CAST(0 AS BIGINT) AS failed, CAST(0 AS BIGINT) AS conflicts FROM rated WHERE n >= 20 AND bound >= 0.8")
+def learn_loop(spark, sf_dir):
+    """The whole learning loop over versioned state: all events teach the rules, then come
+    as a second batch that the active rules fill; what the rules did there."""
+    root, rows = tables.scratch(spark, "learned"), _stored(spark, sf_dir)
+    run = stream.learn_batch(root, min_samples=20, bound=0.8)
+    for number in (0, 1, 1):  # the last comes again and counts once
+        run(rows, number)
+    return sinks.state(spark, root, "counters").select("rule_id", "total", "failed", "conflicts")
+
+
 @register(_CAND + " SELECT count(*) FILTER (n >= 20 AND bound >= 0.8) AS active, count(*) FILTER (NOT (n >= 20 AND bound >= 0.8)) AS shadow, CAST(0 AS BIGINT) AS disabled FROM rated")
 def learn_status_counts(spark, sf_dir):
     return learn.status_counts(_state(spark, sf_dir))

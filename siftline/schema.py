@@ -15,3 +15,4 @@ RULE = (
     "rule_id string, scope_key string, raw_key string, canonical_field string, value_type string, status string, "
     "confidence double, wins long, sample_count long, disabled_reason string"
 )
+COUNTERS = "rule_id string, total long, failed long, conflicts long"

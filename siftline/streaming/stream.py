@@ -7,11 +7,19 @@ from datetime import timedelta
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftline.operators.metrics import filled, minute_rollup
-from siftline.operators.parse import parse_events
-from siftline.schema import RAW
+from siftline.operators.joins import new_events
+from siftline.operators.metrics import filled, history_view, merged, minute_rollup
+from siftline.operators.parse import apply_learned, parse_events, source_scope
+from siftline.schema import COUNTERS, RAW, RULE
 from siftline.sources.sinks import append_events, exists
 
+#: fixed values: the history's views, by unit and keys
+VIEWS = {
+    "minute": ("minute", ["source_addr", "protocol", "action", "parse_status"]),
+    "source": ("hour", ["source_addr"]),
+    "protocol": ("hour", ["protocol", "action"]),
+}
+
 
 def line_stream(spark: SparkSession, path: str, files: int | None = None) -> DataFrame:
     """Raw logs from JSON files as they arrive. ``files`` caps a micro-batch; nothing is
@@ -61,6 +69,44 @@ def store_batch(hot: str, history: str | None = None, rollup: str | None = None)
     return run
 
 
+def history_batch(history: str, views: str, run: str = "0"):
+    """A foreachBatch function: the rows of a batch that the history lacks are added up
+    under ``views``, a partial aggregate for each view and batch, and then stored. A batch
+    that comes again finds its aggregates written and only stores what is missing; one that
+    was cut off is aggregated anew, as its rows are stored last. ``run`` names the stream's
+    checkpoint, whose batches are numbered from 0."""
+
+    def run_batch(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        fs = spark._jvm.org.apache.hadoop.fs
+        batch = batch.withColumn("ingest_day", F.to_date("ingest_time")).persist()
+        try:
+            fresh = batch.dropDuplicates(["event_id"])
+            if exists(spark, history):
+                days = [r[0] for r in batch.select("ingest_day").distinct().collect()]
+                fresh = new_events(batch, spark.read.parquet(history).where(F.col("ingest_day").isin(days)))
+            for name, (unit, keys) in VIEWS.items():
+                path = f"{views}/{name}/run={run}/batch={number}"
+                done = fs.Path(f"{path}/_SUCCESS")
+                if not done.getFileSystem(spark._jsc.hadoopConfiguration()).exists(done):
+                    part = history_view(fresh, unit, keys).withColumn("bucket_day", F.to_date("bucket"))
+                    part.write.mode("overwrite").partitionBy("bucket_day").parquet(path)
+            append_events(batch, history)
+        finally:
+            batch.unpersist()
+
+    return run_batch
+
+
+def stored_view(spark: SparkSession, views: str, name: str) -> DataFrame:
+    """A view that history_batch keeps, its partial aggregates added up; filters of
+    bucket_day skip partitions."""
+    keys = VIEWS[name][1]
+    columns = ["bucket timestamp", *(f"{k} string" for k in keys), "total_count long", "raw_bytes long", "last_seen timestamp", "run string", "batch long", "bucket_day date"]
+    parts = spark.read.schema(", ".join(columns)).parquet(f"{views}/{name}")
+    return merged(parts, ["bucket_day", "bucket", *keys])
+
+
 def start(events: DataFrame, hot: str, checkpoint: str, trigger: dict | None = None, **sinks):
     """Write a stream to tables; ``trigger`` as for DataStreamWriter (default: all that is
     there, then stop)."""
@@ -80,12 +126,13 @@ def sync(source: DataFrame, target: str, late: timedelta | None = timedelta(days
     return append_events(rows, target)
 
 
-def learn_batch(root: str, **options):
-    """A foreachBatch function: each batch of events adds to the versioned rule state and
-    activates what is ready. The state names the last batch in it, so one that comes again
-    counts once."""
+def learn_batch(root: str, hot: str | None = None, **options):
+    """A foreachBatch function, the learning loop over versioned state: the rules that are
+    active fill the batch's events (stored in ``hot``, if given), what came of it adds to
+    the counters of each rule, the batch's candidates add to the rules, ready ones become
+    active, and those with too many failures or conflicts are rolled back. The state names
+    the last batch in it, so one that comes again counts once; events are stored first."""
     from siftline.operators import learn
-    from siftline.schema import RULE
     from siftline.sources import sinks
 
     def run(batch: DataFrame, number: int) -> None:
@@ -94,9 +141,18 @@ def learn_batch(root: str, **options):
         if known and sinks.state(spark, root, "batches").agg(F.max("number")).first()[0] >= number:
             return
         old = sinks.state(spark, root, "rules") if known else spark.createDataFrame([], RULE)
-        rules = learn.activated(learn.observed(old, learn.candidates(batch)), **options)
-        sinks.publish_state({"rules": rules, "batches": spark.createDataFrame([(number,)], "number long")}, root)
+        counted = sinks.state(spark, root, "counters") if known else spark.createDataFrame([], COUNTERS)
+        batch = batch.withColumn("scope_key", source_scope(F.col("source_addr"))[0]).persist()
+        filled_in = apply_learned(batch, learn.active_rules(old)).persist()
+        try:
+            if hot:
+                append_events(filled_in, hot)
+            counters = learn.summed(counted.union(learn.attributed(filled_in).select(counted.columns)))
+            rules = learn.activated(learn.observed(old, learn.candidates(batch)), **options)
+            numbers = spark.createDataFrame([(number,)], "number long")
+            sinks.publish_state({"rules": learn.rolled_back(rules, counters), "counters": counters, "batches": numbers}, root)
+        finally:
+            filled_in.unpersist()
+            batch.unpersist()
 
     return run
-
-

@@ -62,8 +62,9 @@ class Shingler:
     """Sorted distinct 64-bit hashes of a text's word shingles.
 
     A word is hashed eight bytes at a time, all words of a text together: each step mixes
-    the next bytes into what came before, beginning with the length. Words of more than
-    LONG bytes go by their BLAKE2 digest.
+    the next bytes into what came before, beginning with 64 mixed bits of the length, so
+    that words which differ by bytes of zero alone differ too. Words of more than LONG
+    bytes go by their BLAKE2 digest.
     """
 
     LONG = 64
@@ -84,7 +85,7 @@ class Shingler:
         eight = np.ndarray(len(data) + 1, "<u8", data + bytes(8), strides=(1,))
         left = end - at
         step = lambda h, at, left: mixed((h ^ (eight[at] & self.MASKS[np.minimum(left, 8)])) * MULTIPLIERS[1])
-        h = step(left.astype(np.uint64), at, left)
+        h = step(mixed(left.astype(np.uint64) * MULTIPLIERS[2]), at, left)
         more = np.flatnonzero(left > 8)
         at, left = at[more] + 8, left[more] - 8
         if (long := left > self.LONG).any():

@@ -153,3 +153,16 @@ def test_toxicity_scores(spark):
     quoted = toxicity.Scorer({"idiot": 2.0}, {})
     assert quoted.features('he said "what an idiot he is" then')[1] < quoted.features("he said what an idiot he is then")[1]
     assert toxicity.score_documents(docs.limit(0), labels.limit(0)).count() == 0
+
+
+def test_words_that_differ_by_zero_characters_do_not_link(spark):
+    from siftline.llm.jaccard_join import Shingler, jaccard_components
+
+    rows = [(1, "a a a a a"), (2, " ".join(["b\0"] * 5)), (3, " ".join(["a\0"] * 5)), (4, "A a a a a"), (5, "b b b b b")]
+    got = {r.doc_id: r.component_id for r in jaccard_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: 1, 2: 2, 3: 3, 4: 1, 5: 5}
+    words = ["", "a", "b"]
+    for n in range(1, 20):
+        words += ["a" + "\0" * n, "b" + "\0" * n, "\0" * n]
+    _, h = Shingler().words(" ".join(words).encode())
+    assert len(set(h.tolist())) == len(words) - 1

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -101,6 +102,50 @@ def parser_profiles(parsed: DataFrame) -> DataFrame:
     )
 
 
+def profile_deltas(parsed: DataFrame, most: int = 4096) -> DataFrame:
+    """(scope_key, parser_id, status, n, gap) of the engine's attempts. A task counts at
+    most ``most`` different keys at a time; attempts beyond are not counted and their
+    scopes are marked: their counts have a gap, all others are exact."""
+
+    def run(batches):
+        counts, gaps = {}, set()
+        for batch in batches:
+            for key in zip(*(c.to_pylist() for c in batch.columns)):
+                if key in counts or len(counts) < most:
+                    counts[key] = counts.get(key, 0) + 1
+                else:
+                    gaps.add(key[0])
+        rows = [(*k, n, False) for k, n in counts.items()] + [(s, None, None, 0, True) for s in gaps]
+        kinds = (pa.string(), pa.string(), pa.string(), pa.int64(), pa.bool_())
+        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], ["scope_key", "parser_id", "status", "n", "gap"])
+
+    tried = parsed.select("scope_key", F.explode("attempts").alias("a")).select("scope_key", "a.parser_id", F.col("a.result.parse_status").alias("status"))
+    parts = tried.mapInArrow(run, "scope_key string, parser_id string, status string, n long, gap boolean")
+    marked = parts.groupBy("scope_key").agg(F.max("gap").alias("gap"))
+    sums = parts.where("parser_id is not null").groupBy("scope_key", "parser_id", "status").agg(F.sum("n").alias("n"))
+    return sums.join(marked, "scope_key")
+
+
+def scope_listing(events: DataFrame, intervals: DataFrame | None = None, as_of=None) -> DataFrame:
+    """Scopes with their lines, whether they are buckets of unknown sources, their last
+    time and, at ``as_of``, the share of lines that rules apply to; the latest first."""
+    scope, known = source_scope(F.col("source_addr"))
+    rows = events.groupBy(scope.alias("scope_key")).agg((~F.max(known)).alias("unknown_source"), F.count("*").alias("n"), F.max("ingest_time").alias("last_seen"))
+    if intervals is not None:
+        at = F.lit(as_of)
+        now = intervals.where((F.col("start") <= at) & (at < F.col("stop"))).select("scope_key", "share", F.col("stop").alias("until"), "backoff")
+        rows = rows.join(now, "scope_key", "left").withColumn("share", F.coalesce("share", F.lit(1.0)))
+    return rows.orderBy(F.desc("last_seen"), "scope_key")
+
+
+def alias_listing(events: DataFrame) -> DataFrame:
+    return source_aliases(events).orderBy(F.desc("last_seen"), "source_key", "raw_source", "device_id")
+
+
+def diagnostic_listing(parsed: DataFrame) -> DataFrame:
+    return failure_fingerprints(parsed).orderBy(F.desc("last_seen"), "fingerprint")
+
+
 def state_listing(state: DataFrame, status: str | None = None) -> DataFrame:
     """Rules in the listings' fixed order: scope, field, raw key; of one status if given."""
     rows = state if status is None else state.where(F.col("status") == status)

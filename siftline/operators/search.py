@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
-from datetime import date, timedelta
+from datetime import date, datetime, timedelta
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -71,9 +71,10 @@ def at_or(bound) -> Column:
     return bound(F.col("event_time")) | (F.col("event_time").isNull() & bound(F.col("ingest_time")))
 
 
-def predicates(search: Search, raw: bool = True) -> list[Column]:
+def predicates(search: Search, raw: bool = True, history: bool = False) -> list[Column]:
     """The filters as independent conjuncts, on the columns of events. Without ``raw``
-    a keyword matches nothing."""
+    a keyword matches nothing. In the history a keyword may stand in the parse error, too,
+    and without failed lines only parsed ones are found."""
     out = []
     if search.device:
         out.append(F.col("source_addr").contains(search.device))
@@ -96,18 +97,32 @@ def predicates(search: Search, raw: bool = True) -> list[Column]:
     if search.action:
         out.append(F.lower("action") == search.action.lower())
     if search.keyword:
-        out.append(F.col("raw").contains(search.keyword) if raw else F.lit(False))
+        hit = F.col("raw").contains(search.keyword) if raw else F.lit(False)
+        out.append(hit | F.coalesce(F.col("parse_error").contains(search.keyword), F.lit(False)) if history else hit)
     if not search.include_failed:
-        out.append(F.col("parse_status") != "failed")
+        out.append(F.col("parse_status") == "parsed" if history else F.col("parse_status") != "failed")
     return out
 
 
-def matching(events: DataFrame, search: Search, raw: bool = True) -> DataFrame:
-    for p in predicates(search, raw):
+def matching(events: DataFrame, search: Search, raw: bool = True, history: bool = False) -> DataFrame:
+    for p in predicates(search, raw, history):
         events = events.where(p)
     return events
 
 
+def search_history(events: DataFrame, search: Search) -> DataFrame:
+    """A search of the history, newest first."""
+    return newest(matching(events, search, history=True), search.limit)
+
+
+def routed(search: Search, hot: DataFrame, history: DataFrame, as_of, hot_hours: int = 1) -> DataFrame:
+    """A search of the table that holds all it asks for: the hot one if its dates begin
+    within the hot window, the history otherwise."""
+    first = search.date_from or (str(search.the_day()) if search.the_day() else None)
+    begin = datetime.fromisoformat(first) if first else as_of
+    return search_hot(hot, search) if tier_for(begin, as_of, hot_hours) == "hot" else search_history(history, search)
+
+
 def newest(events: DataFrame, limit: int, most: int = QUERY_LIMIT) -> DataFrame:
     """By ingest_time, then event_id, both descending: a top-k, not a sort."""
     return events.orderBy(F.desc("ingest_time"), F.desc("event_id")).limit(clamp(limit, most))
@@ -182,8 +197,6 @@ def tiered(search: Search, hot: DataFrame | None = None, parquet: DataFrame | No
 
 def tier_for(oldest_needed, as_of, hot_hours: int = 1) -> str:
     """Which table answers a query that starts at ``oldest_needed``."""
-    from datetime import timedelta
-
     return "history" if oldest_needed < as_of - timedelta(hours=hot_hours) else "hot"
 
 
@@ -242,6 +255,13 @@ def recent_stream(events: DataFrame, limit: int = 40) -> DataFrame:
 
 
 def oldest(events: DataFrame, after=None, limit: int = QUERY_LIMIT) -> DataFrame:
-    """The next rows of a sync, oldest first: later than ``after``, at most ``limit``."""
-    rows = events if after is None else events.where(F.col("ingest_time") > F.lit(after))
+    """The next rows of a sync, oldest first, at most ``limit``. ``after`` is a time, whose
+    rows are all done, or the (time, event_id) of the last row done: rows of equal times on
+    both sides of a page's end are each on one page."""
+    rows = events
+    if isinstance(after, tuple):
+        at, last = F.lit(after[0]), F.lit(after[1])
+        rows = events.where((F.col("ingest_time") > at) | ((F.col("ingest_time") == at) & (F.col("event_id") > last)))
+    elif after is not None:
+        rows = events.where(F.col("ingest_time") > F.lit(after))
     return rows.orderBy("ingest_time", "event_id").limit(clamp(limit, QUERY_LIMIT))

@@ -52,7 +52,7 @@ TRIED = lambda code, name, when: f"CASE WHEN {when} THEN '{name}: ' || coalesce(
 
 #: ev: the canonical events of all lines; try: the same with what each parser made of them
 ENGINE = f"""
-WITH lines AS ({DUCKDB_LINES}),
+WITH RECURSIVE lines AS ({DUCKDB_LINES}),
 _cut AS (
   SELECT *,
     regexp_extract_all(raw, {q(P.VENDOR)}, 1) AS vk, regexp_extract_all(raw, {q(P.VENDOR)}, 2) AS vv,

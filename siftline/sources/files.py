@@ -1,25 +1,15 @@
-"""Sources: text and gzip logs, Zstd and tar archives, Parquet, CSV and spool files.
-
-Archives are read by Spark as binary files, one task each, and streamed line by line; they
-can't be split, so sinks write them at bounded size.
-"""
+"""Sources: text and gzip logs, Zstd and tar archives, Parquet, CSV and spool files."""
 
 from __future__ import annotations
 
-import gzip
-import io
-import tarfile
-
-import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siftline.operators.metrics import days_in
 from siftline.operators.parse import parse_events
 from siftline.operators.search import adapted
 from siftline.schema import EVENT, SPOOL
-
-ROWS = 5000
+from siftline.sources.archives import frozen_scan
 
 
 def text_logs(spark: SparkSession, path: str, ingest_time) -> DataFrame:
@@ -27,81 +17,39 @@ def text_logs(spark: SparkSession, path: str, ingest_time) -> DataFrame:
     files and lines, files named ``read me.txt`` and gzip files of at most 20 bytes are
     left out; bytes that are no UTF-8 are replaced."""
     rows = spark.read.option("recursiveFileLookup", True).text(path)
+    # a gzip file is read by one task: its lines are dealt out before they are parsed
     name, size = F.lower("_metadata.file_name"), F.col("_metadata.file_size")
     fine = (name != "read me.txt") & (F.replace(name, F.lit("%20"), F.lit(" ")) != "read me.txt") & ~(name.endswith(".gz") & (size <= 20))
-    return rows.where(fine).select(
+    packed = name.endswith(".gz")
+    rows = rows.where(fine)
+    if not rows.where(packed).limit(1).isEmpty():
+        rows = rows.select("value", "_metadata").repartition(max(rows.rdd.getNumPartitions(), spark.sparkContext.defaultParallelism))
+    return rows.select(
         F.lit(ingest_time).cast("timestamp").alias("ingest_time"),
         F.concat(F.lit("file://"), F.regexp_replace("_metadata.file_path", "^file:/*", "/")).alias("source_addr"),
         F.regexp_replace("value", r"[\r\n]+$", "").alias("raw"),
     ).where(F.length("raw") > 0)
 
 
-def _stream(name: str, content: bytes):
-    """(member, text stream) of an archive's members."""
-    import zstandard
-
-    plain = zstandard.ZstdDecompressor().stream_reader(io.BytesIO(content), read_across_frames=True)
-    if name.endswith(".tar.zst"):
-        with tarfile.open(fileobj=plain, mode="r|") as tar:
-            for member in tar:
-                if member.isfile():
-                    inner = tar.extractfile(member)
-                    yield member.name, gzip.open(inner) if member.name.endswith(".gz") else inner
-    else:
-        yield name.rpartition("/")[2], plain
-
-
-def _lines(stream):
-    rest = b""
-    while chunk := stream.read(1 << 20):
-        *whole, rest = (rest + chunk).split(b"\n")
-        yield from whole
-    if rest:
-        yield rest
-
-
-def _archive_lines(batches):
-    for batch in batches:
-        for path, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            out, number = [], 0
-
-            def rows():
-                return pa.RecordBatch.from_pylist(out, schema=pa.schema([("path", pa.string()), ("member", pa.string()), ("line_no", pa.int64()), ("raw", pa.string())]))
-
-            for member, stream in _stream(path, content):
-                for line in _lines(stream):
-                    line = line.decode("utf-8", "replace").rstrip("\r\n")
-                    if line:
-                        out.append({"path": path, "member": member, "line_no": number, "raw": line})
-                        number += 1
-                    if len(out) >= ROWS:
-                        yield rows()
-                        out = []
-            if out:
-                yield rows()
-
-
 def frozen_lines(spark: SparkSession, path: str, day: str | None = None) -> DataFrame:
     """(path, member, line_no, raw) of ``*.raw.zst`` and ``raw-import-*.tar.zst`` files. A
-    day (yyyy-mm-dd) leaves out files and members whose names hold another day."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.zst").load(path)
-    files = files.where(F.col("path").rlike(r"\.raw\.zst$|/raw-import-[^/]*\.tar\.zst$"))
-    if day:
-        days = days_in(F.regexp_extract("path", "([^/]*)$", 1))
-        files = files.where((F.size(days) == 0) | F.array_contains(days, F.lit(day).cast("date")) | F.col("path").endswith(".tar.zst"))
-    rows = files.select("path", "content").mapInArrow(_archive_lines, "path string, member string, line_no long, raw string")
-    if day:
-        days = days_in(F.col("member"))
-        rows = rows.where((F.size(days) == 0) | F.array_contains(days, F.lit(day).cast("date")))
-    return rows
+    day (yyyy-mm-dd) leaves out files and members whose names hold another day, before they
+    are opened. Raw archives are read frame by frame by many tasks: line_no orders the lines
+    of a file, with gaps between frames."""
+    return frozen_scan(spark, path, day)
+
+
+def frozen_time() -> Column:
+    """The time of a frozen line (path, member): the day that the archive's or member's
+    name tells, so that it is the same in every search."""
+    name = F.concat_ws("/", F.regexp_extract("path", "([^/]*)$", 1), "member")
+    return F.coalesce(F.get(days_in(name), F.lit(0)).cast("timestamp"), F.lit("1970-01-01").cast("timestamp"))
 
 
 def frozen_raw(spark: SparkSession, path: str, day: str | None = None) -> DataFrame:
     """Frozen lines as raw logs. Their time is the archive's day, so that ids and date
     filters are the same in every search."""
-    rows = frozen_lines(spark, path, day)
-    name = F.concat_ws("/", F.regexp_extract("path", "([^/]*)$", 1), "member")
-    when = F.coalesce(F.get(days_in(name), F.lit(0)).cast("timestamp"), F.lit("1970-01-01").cast("timestamp"))
+    rows, when = frozen_lines(spark, path, day), frozen_time()
     source = F.when(F.col("path").endswith(".tar.zst"), F.col("member")).otherwise(F.col("path"))
     return rows.select(when.alias("ingest_time"), F.concat(F.lit("frozen://"), source).alias("source_addr"), "raw", "path")
 

@@ -12,6 +12,7 @@ from pyspark.sql.utils import AnalysisException
 from siftline.operators.joins import new_events
 from siftline.operators.search import EXPORT_LIMIT, clamp, newest, slim, tier_rows
 from siftline.schema import EVENT_COLUMNS
+from siftline.sources.archives import write_zst
 
 FROZEN_ROWS = 1_000_000
 
@@ -143,7 +144,8 @@ def write_frozen(events: DataFrame, target: str) -> int:
 
 
 def export(events: DataFrame, target: str, kind: str = "csv.zst", limit: int = 100_000) -> int:
-    """The newest rows as csv, csv.zst or parquet under ``target``; the number of rows."""
+    """The newest rows as csv, csv.zst or parquet under ``target``; the number of rows. A
+    csv.zst file is compressed by many tasks and gets its name when it is whole."""
     rows = newest(events, clamp(limit, EXPORT_LIMIT), EXPORT_LIMIT).select(EVENT_COLUMNS)
     rows = rows.persist()
     n = rows.count()
@@ -152,18 +154,9 @@ def export(events: DataFrame, target: str, kind: str = "csv.zst", limit: int = 1
     elif kind == "csv":
         rows.write.mode("overwrite").option("header", True).option("escape", '"').csv(target)
     elif kind == "csv.zst":
-        names = ",".join(EVENT_COLUMNS)
         line = F.to_csv(F.struct(*EVENT_COLUMNS), {"escape": '"'})
-        packed = rows.select(line.alias("raw")).coalesce(1).mapInArrow(_frozen, "content binary, lines long")
-        spark = events.sparkSession
-        path = spark._jvm.org.apache.hadoop.fs.Path(f"{target}/export.csv.zst")
-        out = path.getFileSystem(spark._jsc.hadoopConfiguration()).create(path, True)
-        import zstandard
-
-        out.write(bytearray(zstandard.ZstdCompressor(level=19).compress((names + "\n").encode())))
-        for row in packed.toLocalIterator():
-            out.write(bytearray(row["content"]))
-        out.close()
+        order = [F.desc("ingest_time"), F.desc("event_id")]
+        write_zst(rows, order, line, f"{target}/export.csv.zst", ",".join(EVENT_COLUMNS) + "\n")
     else:
         raise ValueError("kind is csv, csv.zst or parquet")
     rows.unpersist()
@@ -178,17 +171,27 @@ def search_export(search, target: str, hot: DataFrame | None = None, parquet: Da
 
 def publish_state(tables: dict[str, DataFrame], root: str) -> int:
     """Write a new version of the state tables; its manifest row, with their counts, is
-    written last, so readers never see half a version."""
+    written last, so readers never see half a version. A version's number is claimed before
+    anything is written: of two writers at once each has its own."""
+    from siftline.sources.rollups import put_if_absent
+
     spark = next(iter(tables.values())).sparkSession
     version = (latest_version(spark, root) or 0) + 1
+    while not put_if_absent(spark, f"{root}/claims/{version:012d}"):
+        version += 1
     counts = []
     for name, table in tables.items():
-        table.write.mode("overwrite").parquet(f"{root}/version={version}/{name}")
+        table.write.mode("errorifexists").parquet(f"{root}/version={version}/{name}")
         counts.append((version, name, spark.read.parquet(f"{root}/version={version}/{name}").count()))
     spark.createDataFrame(counts, "version long, name string, n long").coalesce(1).write.mode("append").parquet(f"{root}/manifest")
     return version
 
 
+def state_versions(spark: SparkSession, root: str) -> DataFrame:
+    """(version, name, n) of what was published, the newest version first."""
+    return spark.read.parquet(f"{root}/manifest").orderBy(F.desc("version"), "name")
+
+
 def latest_version(spark: SparkSession, root: str) -> int | None:
     return spark.read.parquet(f"{root}/manifest").agg(F.max("version")).first()[0] if exists(spark, f"{root}/manifest") else None
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from siftline.operators.joins import new_events
 from siftline.operators.metrics import filled, history_view, merged, minute_rollup
 from siftline.operators.parse import apply_learned, parse_events, source_scope
+from siftline.operators.search import QUERY_LIMIT, oldest
 from siftline.schema import COUNTERS, RAW, RULE
 from siftline.sources.sinks import append_events, exists
 
@@ -69,12 +70,18 @@ def store_batch(hot: str, history: str | None = None, rollup: str | None = None)
     return run
 
 
-def history_batch(history: str, views: str, run: str = "0"):
+def stream_id(spark: SparkSession) -> str:
+    """The id of the stream that calls a foreachBatch function: its checkpoint's, so that a
+    new checkpoint, whose batches are numbered from 0 again, has another; "0" outside."""
+    return spark.sparkContext.getLocalProperty("sql.streaming.queryId") or "0"
+
+
+def history_batch(history: str, views: str, run: str | None = None):
     """A foreachBatch function: the rows of a batch that the history lacks are added up
     under ``views``, a partial aggregate for each view and batch, and then stored. A batch
     that comes again finds its aggregates written and only stores what is missing; one that
     was cut off is aggregated anew, as its rows are stored last. ``run`` names the stream's
-    checkpoint, whose batches are numbered from 0."""
+    checkpoint, whose batches are numbered from 0; by default the stream's own id."""
 
     def run_batch(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
@@ -86,7 +93,7 @@ def history_batch(history: str, views: str, run: str = "0"):
                 days = [r[0] for r in batch.select("ingest_day").distinct().collect()]
                 fresh = new_events(batch, spark.read.parquet(history).where(F.col("ingest_day").isin(days)))
             for name, (unit, keys) in VIEWS.items():
-                path = f"{views}/{name}/run={run}/batch={number}"
+                path = f"{views}/{name}/run={run or stream_id(spark)}/batch={number}"
                 done = fs.Path(f"{path}/_SUCCESS")
                 if not done.getFileSystem(spark._jsc.hadoopConfiguration()).exists(done):
                     part = history_view(fresh, unit, keys).withColumn("bucket_day", F.to_date("bucket"))
@@ -114,16 +121,45 @@ def start(events: DataFrame, hot: str, checkpoint: str, trigger: dict | None = N
     return writer.trigger(**(trigger or {"availableNow": True})).start()
 
 
-def sync(source: DataFrame, target: str, late: timedelta | None = timedelta(days=2)) -> int:
-    """Copy what a query copy lacks: rows that are at most ``late`` older than its newest,
-    and not there by id. None compares all rows, however late."""
-    spark = source.sparkSession
-    rows = source
+def lagging(source: DataFrame, target: DataFrame) -> DataFrame:
+    """Days of which a query copy holds fewer rows than its source: as a copy holds nothing
+    else, days with equal counts are equal."""
+    n = lambda t, c: t.groupBy(F.to_date("ingest_time").alias("day")).agg(F.count("*").alias(c))
+    return n(source, "have").join(n(target, "there"), "day", "left").where("there is null or there < have").select("day")
+
+
+def sync(source: DataFrame, target: str, late: timedelta | None = None, limit: int = QUERY_LIMIT) -> int:
+    """Copy what a query copy lacks, each row once. Rows up to the copy's mark, the
+    (ingest_time, event_id) of its last row, are late ones: they are looked for by id, on
+    the days whose counts differ. Later ones follow in pages, oldest first, each behind the
+    mark of the one before, so a sync that is cut off goes on where it was. ``late`` bounds
+    how far back late rows are looked for; None: all of it. The number of rows copied."""
+    spark, n = source.sparkSession, 0
+    source = source.dropDuplicates(["event_id"]) if "event_id" in source.columns else source
+    mark = None
     if exists(spark, target):
-        mark = spark.read.parquet(target).agg(F.max("ingest_time")).first()[0]
-        if mark is not None and late is not None:
-            rows = source.where(F.col("ingest_time") >= F.lit(mark - late))
-    return append_events(rows, target)
+        copy = spark.read.parquet(target)
+        last = copy.agg(F.max(F.struct("ingest_time", "event_id")).alias("m")).first()["m"]
+        mark = (last[0], last[1]) if last is not None else None
+    if mark is not None:
+        at, event = F.lit(mark[0]), F.lit(mark[1])
+        old = (F.col("ingest_time") < at) | ((F.col("ingest_time") == at) & (F.col("event_id") <= event))
+        if late is not None:
+            old &= F.col("ingest_time") >= F.lit(mark[0] - late)
+        days = [r[0] for r in lagging(source.where(old), copy.where(old)).collect()]  # at most one for each day
+        if days:
+            n += append_events(source.where(old & F.to_date("ingest_time").isin(days)), target)
+    while True:
+        page = oldest(source, mark, limit).persist()
+        try:
+            end = page.agg(F.max(F.struct("ingest_time", "event_id")).alias("m"), F.count("*").alias("n")).first()
+            if end["n"]:
+                n += append_events(page, target)
+                mark = (end["m"][0], end["m"][1])
+            if end["n"] < limit:
+                return n
+        finally:
+            page.unpersist()
 
 
 def learn_batch(root: str, hot: str | None = None, **options):

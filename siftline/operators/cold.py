@@ -154,7 +154,8 @@ def may_hold(index: DataFrame, search: Search) -> DataFrame:
             for b in _bits(F.lit(ip))
         ]
         index = index.where(reduce(lambda a, b: a & b, hits))
-    return index
+    # Spark prunes by a join only behind a comparison; every archive has rows
+    return index.where("n > 0")
 
 
 def indexed_search(events: DataFrame, index: DataFrame, search: Search, key: str = "archive") -> DataFrame:

@@ -183,17 +183,22 @@ def publish_state(tables: dict[str, DataFrame], root: str) -> int:
     for name, table in tables.items():
         table.write.mode("errorifexists").parquet(f"{root}/version={version}/{name}")
         counts.append((version, name, spark.read.parquet(f"{root}/version={version}/{name}").count()))
-    spark.createDataFrame(counts, "version long, name string, n long").coalesce(1).write.mode("append").parquet(f"{root}/manifest")
+    # a folder for each version: writers that append to one folder undo each other's commits
+    spark.createDataFrame(counts, "version long, name string, n long").coalesce(1).write.parquet(f"{root}/manifest/part={version}")
     return version
 
 
 def state_versions(spark: SparkSession, root: str) -> DataFrame:
     """(version, name, n) of what was published, the newest version first."""
-    return spark.read.parquet(f"{root}/manifest").orderBy(F.desc("version"), "name")
+    return manifest(spark, root).orderBy(F.desc("version"), "name")
+
+
+def manifest(spark: SparkSession, root: str) -> DataFrame:
+    return spark.read.option("recursiveFileLookup", True).parquet(f"{root}/manifest")
 
 
 def latest_version(spark: SparkSession, root: str) -> int | None:
-    return spark.read.parquet(f"{root}/manifest").agg(F.max("version")).first()[0] if exists(spark, f"{root}/manifest") else None
+    return manifest(spark, root).agg(F.max("version")).first()[0] if exists(spark, f"{root}/manifest") else None
 
 
 def state(spark: SparkSession, root: str, name: str) -> DataFrame:

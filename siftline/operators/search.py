@@ -157,6 +157,8 @@ def adapted(events: DataFrame, path: Column | None = None) -> DataFrame:
         events = events.withColumn("source_addr", F.concat(F.lit("parquet://"), path))
     if "raw" not in have:
         events = events.withColumn("raw", F.lit(""))
+    if "parse_error" not in have:
+        events = events.withColumn("parse_error", F.lit(""))
     if "event_id" not in have:
         from pyspark.sql import Window
 

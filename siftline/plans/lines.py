@@ -29,8 +29,8 @@ TEMPLATE = """
       concat('192.168.', CAST(user_id % 256 AS {S}), '.', CAST(event_id % 250 + 1 AS {S})) AS s,
       CASE event_id % 4 WHEN 0 THEN '8.8.8.8'
            WHEN 1 THEN concat('172.18.', CAST(event_id % 128 AS {S}), '.9')
-           WHEN 2 THEN concat('2.55.80.', CAST(event_id % 200 + 1 AS {S}))
-           ELSE concat('211.93.49.', CAST(event_id % 200 + 1 AS {S})) END AS d,
+           WHEN 2 THEN concat('2.61.44.', CAST(event_id % 200 + 1 AS {S}))
+           ELSE concat('211.120.49.', CAST(event_id % 200 + 1 AS {S})) END AS d,
       CAST(1024 + event_id % 60000 AS {S}) AS sp,
       CASE event_id % 4 WHEN 0 THEN '53' WHEN 1 THEN '443' WHEN 2 THEN '80' ELSE '22' END AS dp,
       CASE event_id % 5 WHEN 0 THEN '17' WHEN 1 THEN '6' WHEN 2 THEN 'TCP' WHEN 3 THEN 'udp' ELSE '1' END AS pr,
@@ -41,7 +41,7 @@ TEMPLATE = """
 DUCKDB_LINES = TEMPLATE.format(S="VARCHAR", syslog="strftime(ts, '%b %d %H:%M:%S')", iso="strftime(ts, '%Y-%m-%d')", events="events")
 ARROW_PATTERN = r"^[^ ]+ ([^ ]+) \[firewall\] ([0-9.]+) -> ([0-9.]+) ([A-Z]+)"
 ARROW = ParseRule(
-    "CustomArrow",
+    "ArrowLine",
     10,
     r"^[^ ]+ (?P<dev>[^ ]+) \[firewall\] (?P<src>[0-9.]+) -> (?P<dst>[0-9.]+) (?P<act>[A-Z]+)",
     [("device_id", "dev", None), ("src_ip", "src", None), ("dst_ip", "dst", None), ("action", "act", None)],

@@ -77,7 +77,7 @@ _fields AS (
     CAST(NULL AS VARCHAR) AS g_vendor, CAST(NULL AS VARCHAR) AS g_product, CAST(NULL AS TIMESTAMP) AS g_time,
     nullif(regexp_extract(raw, {q(ARROW_PATTERN)}, 2), '') AS r_src, nullif(regexp_extract(raw, {q(ARROW_PATTERN)}, 3), '') AS r_dst,
     CAST(NULL AS INTEGER) AS r_sp, CAST(NULL AS INTEGER) AS r_dp, CAST(NULL AS VARCHAR) AS r_pro, nullif(regexp_extract(raw, {q(ARROW_PATTERN)}, 4), '') AS r_act,
-    CAST(NULL AS VARCHAR) AS r_sev, nullif(regexp_extract(raw, {q(ARROW_PATTERN)}, 1), '') AS r_dev, 'CustomArrow' AS r_vendor, CAST(NULL AS VARCHAR) AS r_product, CAST(NULL AS TIMESTAMP) AS r_time,
+    CAST(NULL AS VARCHAR) AS r_sev, nullif(regexp_extract(raw, {q(ARROW_PATTERN)}, 1), '') AS r_dev, 'ArrowLine' AS r_vendor, CAST(NULL AS VARCHAR) AS r_product, CAST(NULL AS TIMESTAMP) AS r_time,
     lower(raw) LIKE '%sangfor%' OR lower(raw) LIKE '%日志类型%' OR lower(raw) LIKE '%nat类型%' AS detected, len(gk) > 0 AS gated
   FROM _named),
 _rated AS (SELECT *, {status('v_')} AS v_status, {status('g_')} AS g_status, {status('r_')} AS r_status FROM _fields),

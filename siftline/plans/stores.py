@@ -146,8 +146,8 @@ def sync_pages(spark, sf_dir):
     rows, target = _stored(spark, sf_dir), tables.scratch(spark, "copy")
     third = F.conv(F.substring("event_id", 1, 6), 16, 10).cast("int") % 3 == 0
     stream.sync(rows.where(third & (F.col("ingest_time") < F.lit(datetime(2024, 1, 15)))), target)
-    stream.sync(rows, target)
-    stream.sync(rows, target)
+    for _ in range(2):
+        stream.sync(rows, target, late=None)
     return shown(spark.read.parquet(target).groupBy("event_id", "ingest_time").agg(F.count("*").alias("n")))
 
 

@@ -106,6 +106,18 @@ class Rollups:
         put_if_absent(self.spark, f"{self.root}/versions/{version:012d}.json", text)
         return version
 
+    def rebuild(self, events: DataFrame) -> int:
+        """A version made of all events, after a table was replaced."""
+        now = self.manifest()
+        parts, version = names_in(self.spark, f"{self.root}/parts"), now["version"] + 1
+        while not put_if_absent(self.spark, f"{self.root}/claims/{version:012d}"):
+            version += 1
+        path = f"{self.root}/base/version={version}"
+        minute_rollup(events).withColumn("bucket_day", F.to_date("bucket_minute")).write.partitionBy("bucket_day").parquet(path)
+        days = [n.partition("=")[2] for n in names_in(self.spark, path) if n.startswith("bucket_day=")]
+        put_if_absent(self.spark, f"{self.root}/versions/{version:012d}.json", json.dumps({"version": version, "days": dict.fromkeys(days, version), "parts": parts}))
+        return version
+
     def vacuum(self) -> int:
         """Delete parts that the newest version covers, and days that it doesn't use."""
         now, n = self.manifest(), 0
@@ -177,6 +189,22 @@ def insert_with_rollup(batch: DataFrame, hot: str, rollups: Rollups, name: str)
     return append_events(batch, hot)
 
 
+def import_csv(spark: SparkSession, path: str, hot: str, rollups: Rollups, name: str) -> int:
+    """Events of CSV files into a table, insert or ignore, and into its rollup; new rows."""
+    from siftline.sources.files import csv_events
+
+    return insert_with_rollup(csv_events(spark, path), hot, rollups, name)
+
+
+def replace_with_rollup(events: DataFrame, hot: str, rollups: Rollups, expected: int) -> int:
+    """Replace a table and then its rollup; the rollup's new version. If it stops between
+    the two, running the rebuild alone puts it right."""
+    from siftline.sources.sinks import replace_events
+
+    replace_events(events, hot, expected)
+    return rollups.rebuild(events.sparkSession.read.parquet(hot))
+
+
 def rollup_batch(hot: str, rollup: str, every: int = 100):
     """A foreachBatch function: batches to the hot table and deltas to the rollup, which
     is compacted every so many batches."""

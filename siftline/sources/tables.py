@@ -32,5 +32,24 @@ def store(events: DataFrame, path: str) -> None:
     dealt.write.partitionBy("ingest_day").option("compression", "zstd").parquet(path)
 
 
+def write_bounds(spark: SparkSession, path: str) -> None:
+    """Write, beside a stored table, each day's rows and its first and last time of events:
+    a search by event times then reads the days that can hold them and no others."""
+    at = F.coalesce("event_time", "ingest_time")
+    facts = spark.read.parquet(path).groupBy("ingest_day").agg(F.count("*").alias("n"), F.min(at).alias("first_seen"), F.max(at).alias("last_seen"))
+    facts.write.mode("overwrite").parquet(f"{path}-bounds")
+
+
+def bounded(spark: SparkSession, path: str, date_from, date_to) -> DataFrame:
+    """A stored table's days that may hold events of these dates (None: no bound). The join
+    with the days' bounds, one row a day, is what Spark prunes partitions by."""
+    days = spark.read.parquet(f"{path}-bounds").where("n > 0")
+    if date_from is not None:
+        days = days.where(F.to_date("last_seen") >= F.lit(date_from).cast("date"))
+    if date_to is not None:
+        days = days.where(F.to_date("first_seen") <= F.lit(date_to).cast("date"))
+    return spark.read.parquet(path).join(F.broadcast(days.select("ingest_day")), "ingest_day", "left_semi")
+
+
 def stored(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)

@@ -128,7 +128,7 @@ def lagging(source: DataFrame, target: DataFrame) -> DataFrame:
     return n(source, "have").join(n(target, "there"), "day", "left").where("there is null or there < have").select("day")
 
 
-def sync(source: DataFrame, target: str, late: timedelta | None = None, limit: int = QUERY_LIMIT) -> int:
+def sync(source: DataFrame, target: str, late: timedelta | None = timedelta(days=2), limit: int = QUERY_LIMIT) -> int:
     """Copy what a query copy lacks, each row once. Rows up to the copy's mark, the
     (ingest_time, event_id) of its last row, are late ones: they are looked for by id, on
     the days whose counts differ. Later ones follow in pages, oldest first, each behind the

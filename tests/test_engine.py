@@ -67,10 +67,10 @@ def test_joins(spark):
     rows = events(spark, SOME)
     devices = spark.createDataFrame([("device-a", "A", "192.168.0.1", "UDP", 514, True), ("off", "B", "192.168.0.2", "UDP", 514, False)], "id string, name string, host string, protocol string, port int, enabled boolean")
     assert joins.backfill_devices(rows, devices).where("device_id = 'device-a'").count() == 2
-    rules = spark.createDataFrame([(1, "2.0.0.0/8", "GovNet", True, False), (0, "2.55.0.0/16", "off", False, False)], "rule_order int, cidr string, name string, enabled boolean, deleted boolean")
-    ranges = spark.createDataFrame([(net.number_of("211.93.0.0"), net.number_of("211.93.255.255"), "中国|江苏|南京|联通|CN"), (net.number_of("64.0.0.0"), net.number_of("127.255.255.255"), "X|0|0|Y")], "ip_from long, ip_to long, region string")
-    ips = spark.createDataFrame([("2.55.80.6",), ("211.93.49.88",), ("65.1.1.1",), ("10.0.0.1",), ("bad",), (None,)], "ip string")
-    assert {tuple(r) for r in joins.address_regions(ips, rules, ranges).collect()} == {("2.55.80.6", "GovNet"), ("211.93.49.88", "中国|江苏|南京|联通"), ("65.1.1.1", "X|Y")}
+    rules = spark.createDataFrame([(1, "2.0.0.0/8", "CampusNet", True, False), (0, "2.61.0.0/16", "off", False, False)], "rule_order int, cidr string, name string, enabled boolean, deleted boolean")
+    ranges = spark.createDataFrame([(net.number_of("211.120.0.0"), net.number_of("211.120.255.255"), "中国|江苏|南京|联通|CN"), (net.number_of("64.0.0.0"), net.number_of("127.255.255.255"), "X|0|0|Y")], "ip_from long, ip_to long, region string")
+    ips = spark.createDataFrame([("2.61.17.9",), ("211.120.5.31",), ("65.1.1.1",), ("10.0.0.1",), ("bad",), (None,)], "ip string")
+    assert {tuple(r) for r in joins.address_regions(ips, rules, ranges).collect()} == {("2.61.17.9", "CampusNet"), ("211.120.5.31", "中国|江苏|南京|联通"), ("65.1.1.1", "X|Y")}
 
 
 def test_text_gzip_and_archives(spark, tmp_path):

@@ -132,7 +132,7 @@ def test_sync_copies_each_row_once(spark, tmp_path):
     assert stream.sync(read(), copy, limit=4) == 0
     late = events(spark, [(-86400 * 40, "udp://a:1", line("late")), (0, "udp://a:1", line("same second")), (5, "udp://a:1", line("new"))])
     sinks.append_events(late, hot)
-    assert stream.sync(read().unionByName(read()), copy, limit=2) == 3
+    assert stream.sync(read().unionByName(read()), copy, late=None, limit=2) == 3
     assert spark.read.parquet(copy).count() == spark.read.parquet(copy).select("event_id").distinct().count() == 13
     page = search.oldest(read(), (T0, ""), 3).collect()
     rest = search.oldest(read(), (page[-1].ingest_time, page[-1].event_id), 100).collect()
@@ -304,3 +304,53 @@ def test_listings(spark):
     assert [r.unknown_source for r in scopes] == [False, True, False, False] and scopes[0].scope_key == "source:udp://10.0.0.3"
     assert [r.raw_source for r in learn.alias_listing(rows).collect()][0] == "udp://10.0.0.3:514"
     assert learn.diagnostic_listing(rows).first().last_seen == T0 + dt.timedelta(seconds=3)
+
+
+# ---------------------------------------------------------------- tables and lifecycle
+
+
+def test_bounds_prune_days_by_event_times(spark, tmp_path):
+    from siftline.sources import tables
+
+    rows = events(spark, [(86400 * d, "udp://a:1", line(d)) for d in range(8)])
+    tables.store(rows, str(tmp_path / "t"))
+    tables.write_bounds(spark, str(tmp_path / "t"))
+    what = Search(date_from="2026-02-05", date_to="2026-02-06")
+    got = search.search_hot(tables.bounded(spark, str(tmp_path / "t"), what.date_from, what.date_to), what)
+    assert sorted(r.raw for r in got.collect()) == [line(2), line(3)]
+    assert "dynamicpruning" in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_an_archive_phase_reads_its_own_files(spark, tmp_path):
+    from siftline.operators import lifecycle
+
+    rows = events(spark, [(86400 * d + n, "udp://a:1", line(f"{d}-{n}")) for d in range(2) for n in range(3)])
+    warm, frozen = str(tmp_path / "warm"), str(tmp_path / "frozen")
+    assert sorted((r.day, r.line_count) for r in lifecycle.archive(rows, warm, frozen, 4).collect()) == [("2026-02-03", 1), ("2026-02-04", 3)]
+    for old in (tmp_path / "frozen").glob("*.zst"):
+        old.write_bytes(b"broken")  # a later phase doesn't open it
+    index, gone = lifecycle.archive_and_retain(rows, warm, frozen, 6, dt.datetime.now())
+    assert sorted(r.line_count for r in index.collect()) == [3, 3] and gone == 0
+    later = dt.datetime.now() + dt.timedelta(days=200)
+    assert lifecycle.delete_files(lifecycle.expired(files.archives(spark, warm), later)) >= 2
+    assert files.archives(spark, frozen).count() == 4
+
+
+def test_raw_is_pruned_on_the_days_that_have_it(spark, tmp_path):
+    from siftline.operators import lifecycle
+
+    rows = events(spark, [(0, "udp://a:1", line(1)), (86400, "udp://a:1", "nothing"), (86401, "udp://a:1", "src=1.1.1.1")])
+    sinks.append_events(rows, str(tmp_path / "t"))
+    assert lifecycle.prune_stored_raw(spark, str(tmp_path / "t")) == 1 and lifecycle.prune_stored_raw(spark, str(tmp_path / "t")) == 0
+    assert sorted(r.raw for r in spark.read.parquet(str(tmp_path / "t")).collect()) == ["", "nothing", "src=1.1.1.1"]
+
+
+def test_imports_and_replacements_keep_the_rollup(spark, tmp_path):
+    hot, kept = str(tmp_path / "hot"), rollups.Rollups(spark, str(tmp_path / "r"))
+    rows = events(spark, [(60 * n, "udp://a:1", line(n)) for n in range(4)]).select(EVENT_COLUMNS)
+    sinks.export(rows, str(tmp_path / "csv"), "csv")
+    assert rollups.import_csv(spark, str(tmp_path / "csv"), hot, kept, "import-1") == 4
+    assert rollups.import_csv(spark, str(tmp_path / "csv"), hot, kept, "import-2") == 0
+    assert rows_of(kept.rows()) == rows_of(metrics.minute_rollup(spark.read.parquet(hot)))
+    rollups.replace_with_rollup(rows.withColumn("action", F.lit("PERMIT")), hot, kept, 4)
+    assert rows_of(kept.rows()) == rows_of(metrics.minute_rollup(spark.read.parquet(hot))) and kept.rows().first().action == "permit"

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siftline.llm.common import cut, ship
-from siftline.llm.tokens import encoder, groups
+from siftline.llm.tokens import LIMIT, encoder, groups
 
 CAPACITY = 1024
 GROUP = 65536
@@ -32,11 +32,11 @@ def piece_bounds(n: int, capacity: int) -> list[tuple[int, int]]:
     return [(0, first)] + [(at, capacity) for at in range(first, n, capacity)]
 
 
-def _pieces(kind: str, path: str, end_id: int, capacity: int):
+def _pieces(kind: str, path: str, end_id: int, capacity: int, chunks: int = LIMIT):
     end = end_id.to_bytes(4, "little")
 
     def run(batches):
-        encode = encoder(kind, path)
+        encode = encoder(kind, path, chunks)
         for batch in batches:
             rows = iter(batch.column(0).to_pylist())
             for texts in groups(batch.column(1).to_pylist()):
@@ -121,17 +121,19 @@ def pack(
     capacity: int = CAPACITY,
     open_bins: int = OPEN_BINS,
     group: int = GROUP,
+    chunks: int = LIMIT,
 ) -> DataFrame:
     """Pieces of every document with their place: doc_id, piece, start, length,
     ids_crc32, sequence_id, offset.
 
     A null or empty text is the end id alone. Rows that repeat a doc_id are packed each
     on their own. A null doc_id stays null. A text of any length is encoded whole, in one
-    task. An empty table gives no rows. Columns other than doc_id and text are not read.
+    task. ``chunks`` bounds a worker's table of distinct chunks: fewer take less memory and
+    are segmented more often. An empty table gives no rows. Columns other than doc_id and text are not read.
     """
     ship(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    pieces = cut(rows.mapInArrow(_pieces(kind, path, end_id, capacity), PIECES), "pieces")
+    pieces = cut(rows.mapInArrow(_pieces(kind, path, end_id, capacity, chunks), PIECES), "pieces")
     pieces_count = pieces.count()
     n_groups = max(1, -(-pieces_count // group))
     place = F.pmod(F.xxhash64("doc_id", "start"), F.lit(n_groups)).alias("group")

@@ -191,11 +191,15 @@ class PieceIds:
 KINDS = {"spaced": SpacedIds, "word": WordIds, "piece": PieceIds}
 
 
-def encoder(kind: str, path: str):
-    """One encoder per Python worker and file, until another operator runs there."""
-    cache = kept(("tokens", kind, path))
+def encoder(kind: str, path: str, limit: int = LIMIT):
+    """One encoder per Python worker and file, until another operator runs there; its
+    tables hold ``limit`` entries at most."""
+    cache = kept(("tokens", kind, path, limit))
     if "encoder" not in cache:
-        cache["encoder"] = KINDS[kind](path)
+        cache["encoder"] = made = KINDS[kind](path)
+        for table in vars(made).values():
+            if isinstance(table, ChunkTable):
+                table.limit = min(table.limit, limit)
     return cache["encoder"]
 
 

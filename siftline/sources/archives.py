@@ -198,7 +198,7 @@ def read_members(path: str, day: str | None):
 
     system, name = located(path)
     number = 0
-    with system.open_input_stream(name) as file, zstandard.ZstdDecompressor().stream_reader(file, read_across_frames=True) as plain:
+    with system.open_input_stream(name, compression=None) as file, zstandard.ZstdDecompressor().stream_reader(file, read_across_frames=True) as plain:
         with tarfile.open(fileobj=plain, mode="r|") as tar:
             for member in tar:
                 if not member.isfile() or not on_day(member.name, day) and not on_day(path.rpartition("/")[2], day, False):

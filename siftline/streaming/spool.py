@@ -35,7 +35,7 @@ def _records(path: str, segment: str):
     system, root = located(path)
     for state in STATES:
         try:
-            stream = system.open_input_stream(f"{root}/{segment}{state}")
+            stream = system.open_input_stream(f"{root}/{segment}{state}", compression=None)
             break
         except FileNotFoundError:
             continue

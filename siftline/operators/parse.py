@@ -83,7 +83,25 @@ def text(pattern_group: Column) -> Column:
 
 
 def unquote(value: Column) -> Column:
-    return F.regexp_replace(F.regexp_replace(value, r'(?s)^"(.*)"$', "$1"), r"(?s)^'(.*)'$", "$1")
+    bare = F.regexp_replace(F.regexp_replace(value, r'(?s)^"(.*)"$', "$1"), r"(?s)^'(.*)'$", "$1")
+    return F.when(F.left(value, F.lit(1)).isin('"', "'"), bare).otherwise(value)
+
+
+def lookup(names: dict[str, list[str]]) -> Column:
+    """A constant map from each key to the field that it stands for."""
+    return F.expr(f"map({', '.join(repr(x) for name, keys in names.items() for key in keys for x in (key, name))})")
+
+
+def named_values(keys: str, values: str, names, quoted: bool) -> Column:
+    """A struct of the values at the first keys that stand for ``names``, unquoted if they
+    may be quoted; one SQL text, as many small columns take long to build."""
+    at = lambda n: f"get({values}, cast(array_position({keys}, '{n}') - 1 as int))"
+    if quoted:
+        bare = r"""regexp_replace(regexp_replace(v, r'(?s)^"(.*)"$', '$1'), r"(?s)^'(.*)'$", '$1')"""
+        some = ", ".join(at(n) for n in names)
+        values = f"""transform(array({some}), v -> if(left(v, 1) in ('"', "'"), {bare}, v))"""
+        return F.expr(f"transform(array({values}), a -> struct({', '.join(f'a[{i}] as {n}' for i, n in enumerate(names))}))[0]")
+    return F.expr(f"struct({', '.join(f'{at(n)} as {n}' for n in names)})")
 
 
 def first_value(keys: Column, values: Column, name: str) -> Column:
@@ -100,11 +118,10 @@ def pair_of(match: Column) -> Column:
 
 
 def settled(df: DataFrame, **columns: Column) -> DataFrame:
-    """``df`` with columns that are computed once: an explode of one struct keeps Catalyst
+    """``df`` with columns that are computed once: a generator of one struct keeps Catalyst
     from copying their expressions into every use above it, filters included."""
     kept = [c for c in df.columns if c not in columns]
-    one = F.explode(F.array(F.struct(*(c.alias(n) for n, c in columns.items())))).alias("_one")
-    return df.select(*kept, one).select(*kept, "_one.*")
+    return df.select(*kept, F.inline(F.array(F.struct(*(c.alias(n) for n, c in columns.items())))))
 
 
 def classify(src: Column, dst: Column, protocol: Column, action: Column, error: Column) -> tuple[Column, Column]:
@@ -130,10 +147,14 @@ def result(values: dict[str, Column], failed: Column | None = None) -> Column:
 
 def checked(lines: DataFrame, name: str, values: dict[str, Column], failed: str) -> DataFrame:
     """Adds a parser's struct; ``failed`` is its error where it found none of the tuple."""
-    lines = settled(lines, _values=F.struct(*(values.get(c, F.lit(None)).cast(TYPES.get(c, "string")).alias(c) for c in FIELDS)))
-    found = {c: F.col(f"_values.{c}") for c in FIELDS}
-    nothing = F.coalesce(*(found[c] for c in ("src_ip", "dst_ip", "protocol", "action"))).isNull()
-    return settled(lines, **{name: result(found, F.when(nothing, failed))}).drop("_values")
+    nulls = {c: F.expr(f"cast(null as {TYPES.get(c, 'string')})") for c in FIELDS if c not in values}
+    lines = settled(lines, _values=F.struct(*((values | nulls)[c].alias(c) for c in FIELDS)))
+    nothing = "coalesce(_values.src_ip, _values.dst_ip, _values.protocol, _values.action) is null"
+    status, error = classify(*(F.col(f"_values.{c}") for c in ("src_ip", "dst_ip", "protocol", "action")), F.lit(None).cast("string"))
+    lines = settled(lines, _nothing=F.expr(nothing), _status=status, _reason=error)
+    fields = ", ".join(f"if(_nothing, null, _values.{c}) as {c}" for c in FIELDS)
+    out = F.expr(f"struct({fields}, if(_nothing, 'failed', _status) as parse_status, if(_nothing, '{failed}', _reason) as parse_error)")
+    return settled(lines, **{name: out}).drop("_values", "_nothing", "_status", "_reason")
 
 
 def syslog_time(raw: Column, ingest_time: Column) -> Column:
@@ -148,47 +169,48 @@ def is_vendor(raw: Column) -> Column:
 
 def vendor_columns(lines: DataFrame) -> DataFrame:
     """Adds ``vendor_result``. Ports: the first valid value wins."""
+    fields = lookup(VENDOR_KEYS)
+    ports = [k for n in ("src_port", "dst_port") for k in VENDOR_KEYS[n]]
+
     def name(key, value):
-        out = F.lit(None).cast("string")
-        for target, names in VENDOR_KEYS.items():
-            fits = key.isin(names)
-            out = F.when(fits & u16(value).isNotNull() if target.endswith("port") else fits, target).otherwise(out)
-        return out
+        return F.when(~key.isin(ports) | u16(value).isNotNull(), F.element_at(fields, key))
 
     lines = settled(lines, _m=F.transform(F.regexp_extract_all("raw", F.lit(VENDOR), F.lit(0)), pair_of))
     lines = settled(lines, _vk=F.transform("_m", lambda m: name(m["key"], m["value"])), _vv=F.col("_m.value")).drop("_m")
-    get = lambda n: first_value(F.col("_vk"), F.col("_vv"), n)
-    values = {n: get(n) for n in VENDOR_KEYS}
-    values |= {"src_port": u16(get("src_port")), "dst_port": u16(get("dst_port")), "protocol": protocol_name(get("protocol"))}
+    lines = settled(lines, _v=named_values("_vk", "_vv", VENDOR_KEYS, quoted=False)).drop("_vk", "_vv")
+    values = {n: F.col(f"_v.{n}") for n in VENDOR_KEYS}
+    values |= {n: u16(values[n]) for n in ("src_port", "dst_port")} | {"protocol": protocol_name(values["protocol"])}
     values |= {"vendor": F.lit("Sangfor"), "product": F.lit("Firewall"), "event_time": syslog_time(F.col("raw"), F.col("ingest_time"))}
-    return checked(lines, "vendor_result", values, VENDOR_FAILED).drop("_vk", "_vv")
+    return checked(lines, "vendor_result", values, VENDOR_FAILED).drop("_v")
 
 
 def generic_name(key: Column) -> Column:
-    low, out = F.lower(key), F.lit(None).cast("string")
+    """The field of a key: by the table, else, for a key that holds a Chinese sign as all the
+    words do, by them."""
+    low, by_words = F.lower(key), F.lit(None).cast("string")
     for target, words in reversed(GENERIC_WORDS):
-        out = F.when(low.rlike(words), target).otherwise(out)
-    for target, names in GENERIC_KEYS.items():
-        out = F.when(low.isin(names), target).otherwise(out)
-    return out
+        by_words = F.when(low.rlike(words), target).otherwise(by_words)
+    return F.coalesce(F.element_at(lookup(GENERIC_KEYS), low), F.when(key.rlike("[一-龥]"), by_words))
 
 
-def generic_columns(lines: DataFrame) -> DataFrame:
-    """Adds ``generic_result`` and ``generic_matches``. The first value of a field wins."""
-    lines = settled(lines, _m=F.transform(F.regexp_extract_all("raw", F.lit(GENERIC), F.lit(0)), pair_of)).withColumn("generic_matches", F.size("_m") > 0)
+def generic_columns(lines: DataFrame, needed: Column | None = None) -> DataFrame:
+    """Adds ``generic_result`` and ``generic_matches``. The first value of a field wins.
+    Lines that are not ``needed`` are not looked at: they have no match and no result."""
+    lines = lines.withColumn("_raw", F.col("raw") if needed is None else F.when(needed, F.col("raw")))
+    lines = settled(lines, _m=F.transform(F.regexp_extract_all("_raw", F.lit(GENERIC), F.lit(0)), pair_of)).withColumn("generic_matches", F.size("_m") > 0)
     lines = settled(lines, _gk=F.transform("_m", lambda m: generic_name(m["key"])), _gv=F.col("_m.value")).drop("_m")
-    get = lambda n: unquote(first_value(F.col("_gk"), F.col("_gv"), n))
-    lines = settled(lines, _src=get("src_ip"), _dst=get("dst_ip"))
-    missing = F.col("_src").isNull() | F.col("_dst").isNull()
-    lines = settled(lines, _ips=F.when(missing, F.regexp_extract_all("raw", F.lit(IP_IN_TEXT), F.lit(1))))
-    src, dst = F.coalesce("_src", F.get("_ips", F.lit(0))), F.coalesce("_dst", F.get("_ips", F.lit(1)))
-    protocol = protocol_name(F.coalesce(get("protocol"), text(F.regexp_extract("raw", PROTOCOL_HINT, 1))))
-    action = F.coalesce(get("action"), text(F.regexp_extract("raw", ACTION_HINT, 1)))
-    values = {
-        "device_id": get("device_id"), "src_ip": src, "src_port": u16(get("src_port")), "dst_ip": dst, "dst_port": u16(get("dst_port")),
-        "protocol": protocol, "action": action, "severity": get("severity"),
+    lines = settled(lines, _g=named_values("_gk", "_gv", GENERIC_KEYS, quoted=True)).drop("_gk", "_gv")
+    found = {n: F.col(f"_g.{n}") for n in GENERIC_KEYS}
+    missing = found["src_ip"].isNull() | found["dst_ip"].isNull()
+    hint = lambda n, pattern: F.coalesce(found[n], text(F.regexp_extract("_raw", pattern, 1)))
+    lines = settled(
+        lines, _ips=F.when(missing, F.regexp_extract_all("_raw", F.lit(IP_IN_TEXT), F.lit(1))), _protocol=hint("protocol", PROTOCOL_HINT), _action=hint("action", ACTION_HINT)
+    )
+    values = found | {
+        "src_ip": F.coalesce(found["src_ip"], F.get("_ips", F.lit(0))), "dst_ip": F.coalesce(found["dst_ip"], F.get("_ips", F.lit(1))),
+        "src_port": u16(found["src_port"]), "dst_port": u16(found["dst_port"]), "protocol": protocol_name(F.col("_protocol")), "action": F.col("_action"),
     }
-    return checked(lines, "generic_result", values, GENERIC_FAILED).drop("_gk", "_gv", "_src", "_dst", "_ips")
+    return checked(lines, "generic_result", values, GENERIC_FAILED).drop("_raw", "_g", "_ips", "_protocol", "_action")
 
 
 @dataclass
@@ -223,8 +245,9 @@ def checked_rules(rules: list[ParseRule]) -> list[ParseRule]:
     return sorted(rules, key=lambda r: r.priority)
 
 
-def rule_columns(lines: DataFrame, rules: list[ParseRule]) -> DataFrame:
-    """Adds ``rules_result``: of the first rule that matches and fills a field."""
+def rule_columns(lines: DataFrame, rules: list[ParseRule], needed: Column | None = None) -> DataFrame:
+    """Adds ``rules_result``: of the first rule that matches and fills a field. Lines that
+    are not ``needed`` are not matched."""
     found = []
     for rule in checked_rules(rules):
         named = re.compile(re.sub(r"\(\?<(?=[A-Za-z_])", "(?P<", rule.match_pattern)).groupindex
@@ -239,7 +262,8 @@ def rule_columns(lines: DataFrame, rules: list[ParseRule]) -> DataFrame:
             value = u16(value) if target.endswith("port") else value
             values[target] = F.coalesce(value, F.lit(rule.name)) if target == "vendor" else value
         filled = F.coalesce(*(values.get(c, F.lit(None)).cast("string") for c in ("src_ip", "dst_ip", "protocol", "action"))).isNotNull()
-        found.append(F.when(F.col("raw").rlike(plain) & filled, result(values)))
+        fits = F.col("raw").rlike(plain) & filled
+        found.append(F.when(fits if needed is None else needed & fits, result(values)))
     return settled(lines, rules_result=F.coalesce(*found, result({}, F.lit(RULES_FAILED))))
 
 
@@ -294,10 +318,18 @@ def parse_events(
 
     Order: a scope's pinned parsers (pins: scope_key, parser_ids), then vendor, adapters,
     generic, rules. The vendor parser is tried last where nothing vendor-specific was
-    detected. With ``diagnostics``: columns attempts and matched_parser.
+    detected. With ``diagnostics``: columns attempts and matched_parser. Without them and
+    without pins the order is fixed, so a parser runs only where none before it parsed.
     """
     kept = [c for c in lines.columns if c not in ("ingest_time", "source_addr", "raw")]
-    lines = rule_columns(generic_columns(vendor_columns(lines)), list(rules)) if rules else generic_columns(vendor_columns(lines))
+    detected = F.col("_detected")
+    left = parsed_by_generic = None
+    if pins is None and not diagnostics:
+        left = ~(detected & (F.col("vendor_result.parse_status") == "parsed"))
+        parsed_by_generic = F.coalesce(F.col("generic_matches") & (F.col("generic_result.parse_status") == "parsed"), F.lit(False))
+    lines = generic_columns(vendor_columns(settled(lines, _detected=F.coalesce(is_vendor(F.col("raw")), F.lit(False)))), left)
+    if rules:
+        lines = rule_columns(lines, list(rules), None if left is None else left & ~parsed_by_generic)
     ids = [VENDOR_ID, *(a.parser_id for a in adapters), GENERIC_ID, *([RULES_ID] if rules else [])]
     lines = lines.withColumn("scope_key", source_scope(F.col("source_addr"))[0])
     route = F.array(*map(F.lit, ids))
@@ -313,7 +345,6 @@ def parse_events(
             F.struct(at.alias("at"), F.lit(parser_id).alias("parser_id"), F.lit(name).alias("name"), F.lit(reason).alias("reason"), outcome.alias("result")),
         )
 
-    detected = is_vendor(F.col("raw"))
     any_detected = detected
     for a in adapters:
         any_detected = any_detected | F.coalesce(a.detect(F.col("raw")), F.lit(False))
@@ -326,7 +357,8 @@ def parse_events(
     tries.append(attempt(VENDOR_ID, VENDOR_NAME, fallback, ~any_detected, F.col("vendor_result"), last=True))
     tries += [attempt(a.parser_id, a.name, fallback, ~any_detected, a.parse(F.col("raw")), last=True) for a in adapters]
 
-    lines = settled(lines, _all=F.array_sort(F.array_compact(F.array(*tries)), lambda x, y: x["at"] - y["at"]))
+    tried = F.array_compact(F.array(*tries))  # in the parsers' own order
+    lines = settled(lines, _all=tried if pins is None else F.array_sort(tried, lambda x, y: x["at"] - y["at"]))
     by = lambda status: F.get(F.filter("_all", lambda t: t["result"]["parse_status"] == status), F.lit(0))
     lines = settled(lines, _won=F.coalesce(by("parsed"), by("partial")))
     said = F.transform("_all", lambda t: F.concat(t["name"], F.lit(": "), F.coalesce(t["result"]["parse_error"], F.lit("failed"))))

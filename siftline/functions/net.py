@@ -119,11 +119,14 @@ def small(df: DataFrame, most: int = 100_000) -> DataFrame:
 
 
 def byte_size(n: Column) -> Column:
-    """A size for people: B, KB, MB or GB."""
-    out = F.concat(F.format_number(n / 1024**3, 1), F.lit(" GB"))
+    """A size for people: B, KB, MB or GB, halves rounded up, no signs between thousands;
+    null counts as 0."""
+    n = F.coalesce(n, F.lit(0))
+    number = lambda x: F.translate(F.format_number(F.round(x, 1), 1), ",", "")
+    out = F.concat(number(n / 1024**3), F.lit(" GB"))
     for limit, unit in ((1024**3, "MB"), (1024**2, "KB"), (1024, "B")):
         scale = limit // 1024
-        text = F.concat(n.cast("long").cast("string") if unit == "B" else F.format_number(n / scale, 1), F.lit(f" {unit}"))
+        text = F.concat(n.cast("long").cast("string") if unit == "B" else number(n / scale), F.lit(f" {unit}"))
         out = F.when(n < limit, text).otherwise(out)
     return out
 

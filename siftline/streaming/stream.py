@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from siftline.operators.joins import new_events
 from siftline.operators.metrics import filled, history_view, merged, minute_rollup
 from siftline.operators.parse import apply_learned, parse_events, source_scope
-from siftline.operators.search import QUERY_LIMIT, oldest
+from siftline.operators.search import QUERY_LIMIT
 from siftline.schema import COUNTERS, RAW, RULE
 from siftline.sources.sinks import append_events, exists
 
@@ -132,34 +132,41 @@ def sync(source: DataFrame, target: str, late: timedelta | None = timedelta(days
     """Copy what a query copy lacks, each row once. Rows up to the copy's mark, the
     (ingest_time, event_id) of its last row, are late ones: they are looked for by id, on
     the days whose counts differ. Later ones follow in pages, oldest first, each behind the
-    mark of the one before, so a sync that is cut off goes on where it was. ``late`` bounds
-    how far back late rows are looked for; None: all of it. The number of rows copied."""
+    mark of the one before, so a sync that is cut off goes on where it was. A page is as many
+    whole days as have at most ``limit`` rows, or one day: days are counted once and read
+    once each, of a table by ingest_day only their own files. ``late`` bounds how far back
+    late rows are looked for; None: all of it. The number of rows copied."""
     spark, n = source.sparkSession, 0
-    source = source.dropDuplicates(["event_id"]) if "event_id" in source.columns else source
+    day = F.col("ingest_day") if "ingest_day" in source.columns else F.to_date("ingest_time")
+    once = lambda rows: rows.dropDuplicates(["event_id"]) if "event_id" in source.columns else rows
     mark = None
     if exists(spark, target):
         copy = spark.read.parquet(target)
         last = copy.agg(F.max(F.struct("ingest_time", "event_id")).alias("m")).first()["m"]
         mark = (last[0], last[1]) if last is not None else None
+    later = source
     if mark is not None:
         at, event = F.lit(mark[0]), F.lit(mark[1])
         old = (F.col("ingest_time") < at) | ((F.col("ingest_time") == at) & (F.col("event_id") <= event))
+        later = source.where(~old & (day >= F.to_date(at)))
         if late is not None:
             old &= F.col("ingest_time") >= F.lit(mark[0] - late)
-        days = [r[0] for r in lagging(source.where(old), copy.where(old)).collect()]  # at most one for each day
+        days = [r[0] for r in lagging(once(source.where(old)), copy.where(old)).collect()]  # at most one for each day
         if days:
-            n += append_events(source.where(old & F.to_date("ingest_time").isin(days)), target)
-    while True:
-        page = oldest(source, mark, limit).persist()
-        try:
-            end = page.agg(F.max(F.struct("ingest_time", "event_id")).alias("m"), F.count("*").alias("n")).first()
-            if end["n"]:
-                n += append_events(page, target)
-                mark = (end["m"][0], end["m"][1])
-            if end["n"] < limit:
-                return n
-        finally:
-            page.unpersist()
+            n += append_events(source.where(old & day.isin(days)), target)
+    counted = later.groupBy(day.alias("day")).agg(F.count("*").alias("n")).orderBy("day").collect()  # one row a day
+    pages: list[list] = []
+    room = 0
+    for found in counted:
+        if pages and found["n"] <= room:
+            pages[-1].append(found["day"])
+        else:
+            pages.append([found["day"]])
+            room = limit
+        room -= found["n"]
+    for days in pages:
+        n += append_events(later.where(day.isin(days)), target)
+    return n
 
 
 def learn_batch(root: str, hot: str | None = None, **options):

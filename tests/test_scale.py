@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 
 from siftline.operators import parse
 from siftline.plans import lines as plans
+from siftline.sources import sinks
+from siftline.streaming import stream
 
 T0 = dt.datetime(2026, 3, 4, 5, 58, 7)
 
@@ -40,3 +42,15 @@ def test_pairs_are_cut_by_arrow_as_the_patterns_say(spark):
         assert bool(r.some) == got[(r.ingest_time - T0).seconds].g.some
     plan = parse.parse_events(raw_lines(spark, odd))._jdf.queryExecution().executedPlan().toString()
     assert "ArrowEvalPython" in plan
+
+
+def test_a_sync_reads_each_day_once(spark, tmp_path, monkeypatch):
+    hot, copy = str(tmp_path / "hot"), str(tmp_path / "copy")
+    rows = parse.parse_events(raw_lines(spark, [(86400 * (n % 3) + n, f"src=1.1.1.1 dst=2.2.2.2 proto=6 n={n}") for n in range(60)])).drop("scope_key")
+    sinks.append_events(rows, hot)
+    calls = []
+    monkeypatch.setattr(stream, "append_events", lambda batch, target: calls.append(1) or sinks.append_events(batch, target))
+    assert stream.sync(spark.read.parquet(hot), copy, limit=4) == 60
+    assert len(calls) == 3  # pages of four rows were fifteen
+    assert stream.sync(spark.read.parquet(hot), copy, limit=4) == 0
+    assert spark.read.parquet(copy).select("event_id").distinct().count() == 60

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from siftline.operators import cold, learn, quarantine, search
 from siftline.operators.search import Search
-from siftline.plans.lines import ARROW, lines
+from siftline.plans.lines import ARROW, TASK_LINES, lines
 from siftline.plans.oracle import EVENT, ROLLUP, TIME
 from siftline.plans.queries import _CAND, _GEO, _NEW, _OK, _SHAPED, _TIER_ORDER, _TIERED_SQL, _TIERS_SQL, _state, _stored, _tiers, cidrs, events, ranges, register, shown
 from siftline.schema import EVENT_COLUMNS, RAW
@@ -142,7 +142,7 @@ def unified_search(spark, sf_dir):
 @register(f" SELECT event_id, {TIME('ingest_time')} AS ingest_time, count(*) AS n FROM ev GROUP BY ALL")
 def sync_pages(spark, sf_dir):
     """A copy that first holds a third of the rows, early and late ones, then all: pages by
-    (time, id), late rows by days whose counts differ."""
+    days, late rows by days whose counts differ."""
     rows, target = _stored(spark, sf_dir), tables.scratch(spark, "copy")
     third = F.conv(F.substring("event_id", 1, 6), 16, 10).cast("int") % 3 == 0
     stream.sync(rows.where(third & (F.col("ingest_time") < F.lit(datetime(2024, 1, 15)))), target)
@@ -155,10 +155,15 @@ def sync_pages(spark, sf_dir):
 def rollup_deltas(spark, sf_dir):
     """All lines as a stream; the rollup is kept by deltas and compacted in between."""
     path = tables.scratch(spark, "deltas")
-    lines(spark, sf_dir).select("ingest_time", "source_addr", "raw").write.parquet(f"{path}/lines")
+    cores = spark.sparkContext.defaultParallelism
+    # as many files, and so batches, however large the table is; a batch's lines are dealt
+    # to tasks again, as its few files alone would leave most cores idle
+    lines(spark, sf_dir).select("ingest_time", "source_addr", "raw").coalesce(cores).write.parquet(f"{path}/lines")
     from siftline.operators.parse import parse_events
 
-    found = parse_events(spark.readStream.schema(RAW).option("maxFilesPerTrigger", 4).parquet(f"{path}/lines"), rules=[ARROW])
+    tasks = max(cores, -(-spark.read.parquet(f"{path}/lines").count() // (2 * TASK_LINES)))
+    arriving = spark.readStream.schema(RAW).option("maxFilesPerTrigger", 4).parquet(f"{path}/lines").repartition(tasks)
+    found = parse_events(arriving, rules=[ARROW])
     writer = found.writeStream.foreachBatch(rollups.rollup_batch(f"{path}/hot", f"{path}/rollup", every=1))
     writer.option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start().awaitTermination()
     return shown(rollups.Rollups(spark, f"{path}/rollup").rows())

@@ -180,13 +180,16 @@ def insert_with_rollup(batch: DataFrame, hot: str, rollups: Rollups, name: str)
     from siftline.operators.joins import new_events
     from siftline.sources.sinks import append_events
 
-    spark = batch.sparkSession
-    fresh = batch.dropDuplicates(["event_id"])
-    if exists(spark, hot):
-        days = [r[0] for r in batch.select(F.to_date("ingest_time").alias("d")).distinct().collect()]
-        fresh = new_events(batch, spark.read.parquet(hot).where(F.col("ingest_day").isin(days)))
-    rollups.add(name, fresh)
-    return append_events(batch, hot)
+    spark, batch = batch.sparkSession, batch.persist()  # its days, its delta and its rows read it, but it is made once
+    try:
+        fresh = batch.dropDuplicates(["event_id"])
+        if exists(spark, hot):
+            days = [r[0] for r in batch.select(F.to_date("ingest_time").alias("d")).distinct().collect()]
+            fresh = new_events(batch, spark.read.parquet(hot).where(F.col("ingest_day").isin(days)))
+        rollups.add(name, fresh)
+        return append_events(batch, hot)
+    finally:
+        batch.unpersist()
 
 
 def import_csv(spark: SparkSession, path: str, hot: str, rollups: Rollups, name: str) -> int:

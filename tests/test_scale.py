@@ -4,9 +4,9 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
-from siftline.operators import parse
+from siftline.operators import metrics, parse
 from siftline.plans import lines as plans
-from siftline.sources import sinks
+from siftline.sources import rollups, sinks
 from siftline.streaming import stream
 
 T0 = dt.datetime(2026, 3, 4, 5, 58, 7)
@@ -54,3 +54,19 @@ def test_a_sync_reads_each_day_once(spark, tmp_path, monkeypatch):
     assert len(calls) == 3  # pages of four rows were fifteen
     assert stream.sync(spark.read.parquet(hot), copy, limit=4) == 0
     assert spark.read.parquet(copy).select("event_id").distinct().count() == 60
+
+
+def test_a_batch_is_parsed_once_for_table_and_rollup(spark, tmp_path):
+    made = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for batch in batches:
+            made.add(batch.num_rows)
+            yield batch
+
+    lines = raw_lines(spark, [(60 * n, f"src=1.1.1.1 dst=2.2.2.2 proto=6 n={n}") for n in range(20)])
+    rows = parse.parse_events(lines.mapInArrow(count, lines.schema)).drop("scope_key")
+    hot, kept = str(tmp_path / "hot"), rollups.Rollups(spark, str(tmp_path / "r"))
+    assert rollups.insert_with_rollup(rows, hot, kept, "a") == 20
+    assert made.value == 20
+    assert kept.rows().agg(F.sum("total_count")).first()[0] == metrics.minute_rollup(rows).agg(F.sum("total_count")).first()[0] == 20

@@ -23,6 +23,8 @@ CAPACITY = 1024
 GROUP = 65536
 SLICE = 8192
 OPEN_BINS = 1024
+#: texts of a batch, and about their characters, that are encoded together
+ROWS, CHARS = 256, 500_000
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -37,9 +39,10 @@ def _pieces(kind: str, path: str, end_id: int, capacity: int, chunks: int = LIMI
 
     def run(batches):
         encode = encoder(kind, path, chunks)
-        for batch in batches:
+        # a batch of Arrow's holds 10,000 texts: only some of them become Python's at a time
+        for batch in (b.slice(at, ROWS) for b in batches for at in range(0, b.num_rows, ROWS)):
             rows = iter(batch.column(0).to_pylist())
-            for texts in groups(batch.column(1).to_pylist()):
+            for texts in groups(batch.column(1).to_pylist(), CHARS):
                 out = [[] for _ in range(5)]
                 for ids in encode(texts):
                     doc = next(rows)

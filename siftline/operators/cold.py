@@ -14,7 +14,7 @@ from siftline.operators.search import COLD_LIMIT, QUERY_LIMIT, Search, clamp, ma
 from siftline.schema import EVENT_COLUMNS
 from siftline.sources.archives import frame_index, indexed_lines, listing, on_day
 from siftline.sources.files import adapted_with_path, frozen_time
-from siftline.sources.tables import scratch
+from siftline.sources.tables import kept, scratch
 
 #: bits of an archive's filter, and its hashes; sources that an index row lists
 FILTER_BITS, HASHES, SOURCES = 14, 4, 64
@@ -112,8 +112,8 @@ def frozen_candidates(path: str, day: str | None, device: str | None, index: Dat
 
 def unified(search: Search, rules: DataFrame, ranges: DataFrame, hot: DataFrame | None = None, parquet: DataFrame | None = None, frozen: DataFrame | None = None) -> DataFrame:
     """A search over hot rows and archives with the regions of the rows it finds: the
-    limit comes first, so that only those are looked up."""
-    return with_regions(tiered(search, hot, parquet, frozen), rules, ranges)
+    limit comes first, so that only those are looked up, and the search runs once."""
+    return with_regions(kept(tiered(search, hot, parquet, frozen), "found"), rules, ranges)
 
 
 # ---------------------------------------------------------------- index

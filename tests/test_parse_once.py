@@ -39,3 +39,7 @@ def test_attribution_takes_events_with_one_list(spark):
     rows = [("parsed", ["a"], None), ("partial", ["a", "b"], ["c"]), ("failed", None, ["a"]), ("failed", [], [])]
     got = learn.attributed(spark.createDataFrame(rows, "parse_status string, applied_rules array<string>, failed_rules array<string>"))
     assert {tuple(r) for r in got.collect()} == {("a", 3, 2, 1), ("b", 1, 1, 0), ("c", 1, 1, 1)}
+
+
+def test_unified_search_parses_once(spark, monkeypatch):
+    assert parsed_rows(spark, monkeypatch, "unified_search") == 3

@@ -43,3 +43,17 @@ def test_attribution_takes_events_with_one_list(spark):
 
 def test_unified_search_parses_once(spark, monkeypatch):
     assert parsed_rows(spark, monkeypatch, "unified_search") == 3
+
+
+@pytest.mark.parametrize("limit", [3, 4, 7, 40, 100])
+def test_a_large_limit_sends_few_rows_to_one_task(spark, monkeypatch, limit):
+    t0 = dt.datetime(2024, 1, 1)
+    rows = [(i % 2, None if i % 3 else f"p{i % 6}", None if i == 5 else t0 + dt.timedelta(minutes=37 * (i % 11)), f"{i:03d}") for i in range(60)]
+    table = spark.createDataFrame(rows, "tier_rank int, archive_path string, ingest_time timestamp, event_id string")
+    keys = ["tier_rank", "archive_path"]
+    want = table.orderBy("tier_rank", F.asc_nulls_first("archive_path"), F.desc("ingest_time"), F.desc("event_id")).limit(limit).collect()
+    monkeypatch.setattr(search, "TOP_ROWS", 3)
+    got = search.first_rows(table, keys, limit)
+    assert got.collect() == want
+    assert ("LeftSemi" in got._jdf.queryExecution().optimizedPlan().toString()) == (limit > 3)
+    assert search.newest(table, limit).collect() == table.orderBy(F.desc("ingest_time"), F.desc("event_id")).limit(limit).collect()

@@ -57,3 +57,7 @@ def test_a_large_limit_sends_few_rows_to_one_task(spark, monkeypatch, limit):
     assert got.collect() == want
     assert ("LeftSemi" in got._jdf.queryExecution().optimizedPlan().toString()) == (limit > 3)
     assert search.newest(table, limit).collect() == table.orderBy(F.desc("ingest_time"), F.desc("event_id")).limit(limit).collect()
+
+
+def test_tier_search_dedup_parses_once(spark, monkeypatch):
+    assert parsed_rows(spark, monkeypatch, "tier_search_dedup") == 2

@@ -14,6 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from siftline.functions.net import small
 from siftline.operators.learn import fingerprint
 from siftline.operators.parse import apply_learned
 from siftline.sources.sinks import append_events, exists
@@ -93,13 +94,15 @@ def quarantine(health: DataFrame, unit: str = "minute", hold: int = HOLD, longes
 
 def with_share(events: DataFrame, intervals: DataFrame) -> DataFrame:
     """Adds rule_share. Intervals are cut at full hours and joined on scope and hour, so a
-    scope with many of them is not compared with each."""
+    scope with many of them is not compared with each. Up to 100,000 scope-hours are
+    broadcast: events are then read once and never shuffled."""
     hours = F.explode(F.sequence(F.date_trunc("hour", "start"), F.date_trunc("hour", "stop"), F.expr("interval 1 hour")))
     cut = intervals.select("scope_key", hours.alias("_hour"), F.col("start").alias("_start"), F.col("stop").alias("_stop"), F.col("share").alias("_share"))
-    near = events.withColumn("_hour", F.date_trunc("hour", "ingest_time"))
-    held = near.select("event_id", "scope_key", "ingest_time", "_hour").join(cut, ["scope_key", "_hour"]).where("ingest_time >= _start and ingest_time < _stop")
-    held = held.groupBy("event_id").agg(F.min("_share").alias("rule_share"))
-    return events.join(held, "event_id", "left").withColumn("rule_share", F.coalesce("rule_share", F.lit(1.0)))
+    held = small(cut.groupBy("scope_key", "_hour").agg(F.collect_list(F.struct("_start", "_stop", "_share")).alias("_held")))
+    rows = events.withColumn("_hour", F.date_trunc("hour", "ingest_time")).join(held, ["scope_key", "_hour"], "left")
+    fits = F.filter("_held", lambda i: (F.col("ingest_time") >= i["_start"]) & (F.col("ingest_time") < i["_stop"]))
+    share = F.coalesce(F.array_min(F.transform(fits, lambda i: i["_share"])), F.lit(1.0))
+    return rows.select(*events.columns, share.alias("rule_share"))
 
 
 def apply_outside(events: DataFrame, rules: DataFrame, intervals: DataFrame) -> DataFrame:

@@ -12,7 +12,7 @@ from siftline.operators import cold, learn, quarantine, search
 from siftline.operators.search import Search
 from siftline.plans.lines import ARROW, TASK_LINES, lines
 from siftline.plans.oracle import EVENT, ROLLUP, TIME
-from siftline.plans.queries import _CAND, _GEO, _NEW, _OK, _SHAPED, _TIER_ORDER, _TIERED_SQL, _TIERS_SQL, _state, _stored, _tiers, cidrs, events, ranges, register, shown
+from siftline.plans.queries import _CAND, _GEO, _LEARNED, _NEW, _OK, _SHAPED, _TIER_ORDER, _TIERED_SQL, _TIERS_SQL, _state, _stored, _tiers, cidrs, events, kept_events, ranges, register, shown
 from siftline.schema import EVENT_COLUMNS, RAW
 from siftline.sources import archives, files, rollups, tables
 from siftline.streaming import spool, stream
@@ -247,8 +247,8 @@ def quarantine_intervals(spark, sf_dir):
 )
 def quarantine_apply(spark, sf_dir):
     """Learned rules on all events, but for those that a quarantine keeps them from."""
-    rows = events(spark, sf_dir)
-    done = quarantine.apply_outside(rows, learn.active_rules(_state(spark, sf_dir)), _quarantine(spark, sf_dir, rows))
+    rows = kept_events(spark, sf_dir, *_LEARNED)
+    done = quarantine.apply_outside(rows, learn.active_rules(_state(spark, sf_dir, found=rows)), _quarantine(spark, sf_dir, rows))
     return done.select("event_id", "action", "parse_status")
 
 

@@ -61,3 +61,7 @@ def test_a_large_limit_sends_few_rows_to_one_task(spark, monkeypatch, limit):
 
 def test_tier_search_dedup_parses_once(spark, monkeypatch):
     assert parsed_rows(spark, monkeypatch, "tier_search_dedup") == 2
+
+
+def test_quarantine_apply_parses_once(spark, monkeypatch):
+    assert parsed_rows(spark, monkeypatch, "quarantine_apply") == 1

@@ -65,3 +65,7 @@ def test_tier_search_dedup_parses_once(spark, monkeypatch):
 
 def test_quarantine_apply_parses_once(spark, monkeypatch):
     assert parsed_rows(spark, monkeypatch, "quarantine_apply") == 1
+
+
+def test_storage_stats_parses_once(spark, monkeypatch):
+    assert parsed_rows(spark, monkeypatch, "storage_stats") == 1

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siftline.functions.net import cidr_bounds, ipv4_number, is_public, region_parts, small
+from siftline.operators.parse import settled
 
 WIDE = 64
 ADDRESSES = 500_000
@@ -72,7 +73,7 @@ def range_regions(ips: DataFrame, ranges: DataFrame) -> DataFrame:
     """(ip, region, province, city, isp) of public addresses by a table of ranges (ip_from,
     ip_to, region). Ranges are cut at the borders of 65,536 addresses and joined on those;
     ranges of more than WIDE such blocks go by their blocks of 16,777,216."""
-    numbers = ips.select("ip", ipv4_number(F.col("ip")).alias("n")).where(is_public(F.col("n"))).distinct()
+    numbers = settled(ips.select("ip").distinct(), n=ipv4_number(F.col("ip"))).where(is_public(F.col("n")))
     blocks = F.shiftright("ip_to", 16) - F.shiftright("ip_from", 16) + 1
 
     def joined(part: DataFrame, bits: int) -> DataFrame:
@@ -105,8 +106,14 @@ def with_regions(events: DataFrame, rules: DataFrame, ranges: DataFrame) -> Data
 
 def pending_public_ips(events: DataFrame, known: DataFrame) -> DataFrame:
     """Distinct public addresses without a region (known: ip)."""
-    ips = events.select(F.explode(F.array("src_ip", "dst_ip")).alias("ip")).where("ip is not null").distinct()
-    return ips.where(is_public(ipv4_number(F.col("ip")))).join(known.select("ip"), "ip", "left_anti")
+    return pending_ips(events.select(F.explode(F.array("src_ip", "dst_ip")).alias("ip")).where("ip is not null").distinct(), known)
+
+
+def pending_ips(ips: DataFrame, known: DataFrame) -> DataFrame:
+    """The public ones of distinct addresses (ip) that ``known`` (ip) doesn't hold. The
+    number is computed once for each: a filter would copy it into each of its bounds."""
+    public = settled(ips.select("ip"), n=ipv4_number(F.col("ip"))).where(is_public(F.col("n"))).select("ip")
+    return public.join(known.select("ip"), "ip", "left_anti")
 
 
 def indexed_paths(index: DataFrame, day=None, source: str | None = None) -> list[str]:

@@ -69,3 +69,7 @@ def test_quarantine_apply_parses_once(spark, monkeypatch):
 
 def test_storage_stats_parses_once(spark, monkeypatch):
     assert parsed_rows(spark, monkeypatch, "storage_stats") == 1
+
+
+def test_pending_public_ips_parses_once(spark, monkeypatch):
+    assert parsed_rows(spark, monkeypatch, "pending_public_ips") == 1

@@ -16,8 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siftline.llm.common import cut, ship
-from siftline.llm.tokens import LIMIT, encoder, groups
+from siftline.llm.common import cut, lean, ship
+from siftline.llm.tokens import LIMIT, encoder, groups, tables
 
 CAPACITY = 1024
 GROUP = 65536
@@ -136,7 +136,7 @@ def pack(
     """
     ship(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    pieces = cut(rows.mapInArrow(_pieces(kind, path, end_id, capacity, chunks), PIECES), "pieces")
+    pieces = cut(rows.mapInArrow(lean(_pieces(kind, path, end_id, capacity, chunks), tables(kind, path, chunks)), PIECES), "pieces")
     pieces_count = pieces.count()
     n_groups = max(1, -(-pieces_count // group))
     place = F.pmod(F.xxhash64("doc_id", "start"), F.lit(n_groups)).alias("group")

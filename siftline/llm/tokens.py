@@ -13,6 +13,7 @@ import functools
 import os
 import re
 from array import array
+from itertools import filterfalse
 
 import numpy as np
 
@@ -42,7 +43,8 @@ class ChunkTable(dict):
     def fill(self, chunk_lists) -> None:
         """The table holds at most its limits and one group's chunks, which need be there
         together."""
-        need = list(set().union(*chunk_lists).difference(self))
+        # set.difference() would go through all of a table that is no plain dict
+        need = list(filterfalse(self.__contains__, set().union(*chunk_lists)))
         chars = sum(map(len, need))
         if self and need and (len(self) + len(need) > self.limit or self.chars + chars > LIMIT_CHARS):
             self.clear()
@@ -71,7 +73,7 @@ def packed(tokenizer, texts: list[str]) -> list[bytes]:
     return [array("I", e.ids).tobytes() for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
 
-def lines(chunks: list[str], most: int = 256):
+def lines(chunks: list, most: int = 256) -> list[list]:
     return [chunks[i : i + most] for i in range(0, len(chunks), most)]
 
 
@@ -86,12 +88,14 @@ class SpacedIds:
         def segment(chunks):
             plain = [c for c in chunks if c and c == c.strip() and " " not in c]
             out = {}
-            for line, e in zip(lines(plain), tokenizer.encode_batch_fast([" " + " ".join(x) for x in lines(plain)], add_special_tokens=False)):
-                ids = np.array(e.ids, "<u4")
-                at = np.flatnonzero(begins[ids]) * 4
-                if len(at) == len(line):
-                    ids = ids.tobytes()
-                    out.update(zip(line, [ids[a:b] for a, b in zip(at, [*at[1:], len(ids)])]))
+            # the library's encodings take far more memory than their ids: a few lines at a time
+            for some in lines(lines(plain), 8):
+                for line, e in zip(some, tokenizer.encode_batch_fast([" " + " ".join(x) for x in some], add_special_tokens=False)):
+                    ids = np.array(e.ids, "<u4")
+                    at = np.flatnonzero(begins[ids]) * 4
+                    if len(at) == len(line):
+                        ids = ids.tobytes()
+                        out.update(zip(line, [ids[a:b] for a, b in zip(at, [*at[1:], len(ids)])]))
             rest = [c for c in chunks if c not in out]
             out.update(zip(rest, packed(tokenizer, [" " + c for c in rest])))
             return out
@@ -109,9 +113,14 @@ class SpacedIds:
                 parts = text.split(" ")
             cuts.append((parts[0], parts[1:]))
         self.first.fill([[a] for a, _ in cuts])
-        self.spaced.fill([b for _, b in cuts])
-        ids = self.spaced.__getitem__
-        return [self.first[a] + b"".join(map(ids, b)) for a, b in cuts]
+        # each chunk is looked up once; only what the table lacks then is looked up again
+        found = [list(map(self.spaced.get, b)) for _, b in cuts]
+        lacking = [[i for i, ids in enumerate(f) if ids is None] for f in found]
+        self.spaced.fill([[b[i] for i in at] for (_, b), at in zip(cuts, lacking)])
+        for (_, b), f, at in zip(cuts, found, lacking):
+            for i in at:
+                f[i] = self.spaced[b[i]]
+        return [self.first[a] + b"".join(f) for (a, _), f in zip(cuts, found)]
 
 
 class WordIds:
@@ -191,10 +200,15 @@ class PieceIds:
 KINDS = {"spaced": SpacedIds, "word": WordIds, "piece": PieceIds}
 
 
+def tables(kind: str, path: str, limit: int) -> tuple:
+    """The owner of an encoder in its worker's cache."""
+    return "tokens", kind, path, limit
+
+
 def encoder(kind: str, path: str, limit: int = LIMIT):
     """One encoder per Python worker and file, until another operator runs there; its
     tables hold ``limit`` entries at most."""
-    cache = kept(("tokens", kind, path, limit))
+    cache = kept(tables(kind, path, limit))
     if "encoder" not in cache:
         cache["encoder"] = made = KINDS[kind](path)
         for table in vars(made).values():

@@ -72,8 +72,8 @@ def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of at most 1024 tokens and their places in sequences. Executors still hold what
-    the stages before took, so the workers' tables are half as large as by default."""
-    return pack(docs, tokenizer_path("byte_bpe_50k.json"), chunks=300_000)
+    the stages before took, so the workers' tables are far smaller than by default."""
+    return pack(docs, tokenizer_path("byte_bpe_50k.json"), chunks=50_000)
 
 
 STAGES = [
